@@ -136,7 +136,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     keyed hash of doc_id, whose weighted n-grams alone come to the driver.
     """
     short_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) != 2))
     sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
@@ -170,10 +170,10 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             out = [(i, lang, *weigh(counter(t), idf)) for i, t, lang in zip(part["doc_id"], part["text"], part["lang"], strict=True) if has_letter(t)]
             if out:
                 i, lang, at, x = zip(*out, strict=True)
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(v) else int(v) for v in i], "Int64"), "lang": lang, "at": [a.astype(np.int32) for a in at], "x": [v.astype(np.float32) for v in x]})
+                yield pd.DataFrame({"doc_id": i, "lang": lang, "at": [a.astype(np.int32) for a in at], "x": [v.astype(np.float32) for v in x]})
 
-    sample = drawn.mapInPandas(vectors, "doc_id long, lang string, at array<int>, x array<float>").collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["at"]))
+    sample = drawn.mapInPandas(vectors, "doc_id string, lang string, at array<int>, x array<float>").collect()
+    sample.sort(key=lambda r: (r["doc_id"] or "", r["lang"], r["at"]))
     y = np.array([languages.index(r["lang"]) for r in sample], int)
     w, t = fit([(np.array(r["at"], np.int64), np.array(r["x"], np.float64)) for r in sample], y, len(languages))
     return Model(languages, w, t, idf)

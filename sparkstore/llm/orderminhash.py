@@ -130,12 +130,13 @@ def fingerprints(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int
     texts have equal fingerprints, null texts that of the empty text."""
     short_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sign = Signer(k, picked, tuples)
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fingerprint": [hexed(sign(t)) for t in rows["text"]]})
+        for texts in batches:
+            yield pd.Series([hexed(sign(t)) for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), signed("text").alias("fingerprint"))
 
 
 def _part(bounds: list[int]) -> F.Column:
@@ -185,6 +186,7 @@ def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPL
     again = F.when(leads, F.array(F.struct(F.element_at(lead, F.col("part")).alias("part"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>"))
     dealt = docs.withColumn("part", numbered.cast("int")).select("doc_id", "text", F.inline(F.concat(to, again)).alias("part", "role"))
     dealt = dealt.repartition(max(1, len(line)), "part").sortWithinPartitions("part", "role", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with nulls to doubles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign, last, out = Signer(k, picked, tuples), None, []
@@ -195,7 +197,7 @@ def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPL
                     out.append(row(sign, last, t, sig))
                 last = (p, i, t, sig) if role == 0 else None
             if out:
-                yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out)
                 out = []
 
     def row(sign: Signer, last: tuple, t: str, sig: np.ndarray) -> dict:
@@ -204,8 +206,9 @@ def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPL
         changed = own[: n - n // 3] + t[: n // 3]
         changed_sig = own_sig if changed == own else sign(changed)
         return {
-            "doc_id": None if pd.isna(i) else int(i), "n_chars": n, "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": hexed(own_sig),
+            "doc_id": i, "n_chars": n, "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": hexed(own_sig),
             "edited_fingerprint": hexed(changed_sig), "near_edited": likeness(own_sig, changed_sig), "near_next": likeness(own_sig, sig),
         }
 
-    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    told = dealt.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return told.withColumn("doc_id", F.col("doc_id").cast("long"))

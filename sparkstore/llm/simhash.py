@@ -64,12 +64,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``(doc_id, fp)`` for each row; fp is the fingerprint as a signed long."""
     short_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in rows["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), printed("text").alias("fp"))
 
 
 def _stars(radius: int):

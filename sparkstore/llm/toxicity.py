@@ -90,6 +90,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.asarray(x, np.float64), -30, 30)))
 
 
+def _gather(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the values of each index."""
+    return np.stack([np.bincount(index, v, rows) for v in values.T], 1).astype(np.float32)
+
+
 class Network:
     """Word and character vectors, a gated recurrent unit each way, attention pooling.
 
@@ -171,7 +176,7 @@ class Network:
         g["a"] = np.einsum("tn,tnk->k", ds, states)
         dx = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            dpx, dU = np.zeros((len(x), 3 * UNITS), np.float32), np.zeros_like(self.p[f"U{way}"])
+            dU, inner = np.zeros_like(self.p[f"U{way}"]), np.empty((*idx.T.shape, 3 * UNITS), np.float32)
             U, carry = self.p[f"U{way}"], np.zeros((n, UNITS), np.float32)
             for s, h, z, r, c, rh, on in reversed(saved[way]):
                 carry = carry + dstates[s, :, k * UNITS : (k + 1) * UNITS]
@@ -181,16 +186,15 @@ class Network:
                 dzr = np.concatenate([d * (c - h) * z * (1 - z), drh * h * r * (1 - r)], 1)
                 dU[:, 2 * UNITS :] += rh.T @ dc
                 dU[:, : 2 * UNITS] += h.T @ dzr
-                np.add.at(dpx, idx[:, s], np.concatenate([dzr, dc], 1))
+                inner[s, :, : 2 * UNITS], inner[s, :, 2 * UNITS :] = dzr, dc
                 carry = np.where(on, d * (1 - z) + drh * r + dzr @ U[:, : 2 * UNITS].T, carry)
+            dpx = _gather(idx.T.ravel(), inner.reshape(-1, 3 * UNITS), len(x))
             g |= {f"U{way}": dU, f"W{way}": x.T @ dpx, f"b{way}": dpx.sum(0)}
             dx += dpx @ self.p[f"W{way}"].T
         whole, grams, at = hashed
-        g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], whole, dx[:, :WORD_DIM])
         count = np.diff(at)
-        g["C"] = np.zeros_like(self.p["C"])
-        np.add.at(g["C"], grams, np.repeat(dx[:, WORD_DIM:] / np.maximum(count, 1)[:, None], count, axis=0))
+        g["E"] = _gather(whole, dx[:, :WORD_DIM], WORD_ROWS)
+        g["C"] = _gather(grams, np.repeat(dx[:, WORD_DIM:] / np.maximum(count, 1)[:, None], count, axis=0), CHAR_ROWS)
         return loss, g
 
 
@@ -269,6 +273,16 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
     m, v, step = {k: np.zeros_like(p) for k, p in net.p.items()}, {k: np.zeros_like(p) for k, p in net.p.items()}, 0
     learn = np.flatnonzero(kept)
     by_length = learn[np.argsort([len(parts[i]) for i in learn], kind="stable")]
+
+    def subset(tried: list[np.ndarray]) -> tuple[tuple, list[np.ndarray]]:
+        """The features of the words of some windows alone, and the windows by them."""
+        used = np.unique(np.concatenate([*tried, np.zeros(1, np.int32)]))
+        back[used] = np.arange(len(used))
+        sizes = at[used + 1] - at[used]
+        flat = np.repeat(at[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        return (whole[used], grams[flat], np.concatenate([[0], np.cumsum(sizes)])), [back[p] for p in tried]
+
+    back = np.zeros(len(whole), np.int64)
     epochs = max(epochs, -(-steps * batch // len(learn)))
     for epoch in range(epochs):
         line = by_length if epoch < 2 else r.permutation(learn)
@@ -276,14 +290,9 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
             docs = line[b : b + batch]
             tried = [(i, parts[i][j]) for i in docs for j in (range(len(parts[i])) if len(parts[i]) <= TRAIN_WINDOWS else r.choice(len(parts[i]), TRAIN_WINDOWS, replace=False))]
             owner = np.array([i for i, _ in tried])
-            used = np.unique(np.concatenate([p for _, p in tried] + [np.zeros(1, np.int32)]))
-            back = np.zeros(len(whole), np.int64)
-            back[used] = np.arange(len(used))
-            sizes = at[used + 1] - at[used]
-            flat = np.repeat(at[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            sub = (whole[used], grams[flat], np.concatenate([[0], np.cumsum(sizes)]))
+            sub, near = subset([p for _, p in tried])
             x = net.inputs(sub)
-            idx, length = _padded([back[p] for _, p in tried])
+            idx, length = _padded(near)
             logit = np.concatenate([net.forward(x, idx[c : c + 1024], length[c : c + 1024]) for c in range(0, len(idx), 1024)])
             pick = []
             for i in docs:
@@ -292,7 +301,8 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
                 if y[i] == 0:
                     pick.append(r.choice(own))
             pick = np.array(pick)
-            _, g = net.gradient(x, sub, idx[pick], length[pick], y[owner[pick]])
+            sub, near = subset([tried[i][1] for i in pick])
+            _, g = net.gradient(net.inputs(sub), sub, *_padded(near), y[owner[pick]])
             step += 1
             lr = rate * min(1, step / 20) * (1 - 0.9 * epoch / epochs)
             for k, grad in g.items():
