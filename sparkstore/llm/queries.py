@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, orderminhash, simhash, toxicity, vectors
+from . import chat, language, licenses, mixing, orderminhash, packing, simhash, tokens, toxicity, vectors
 from .common import held_out, table
 
 
@@ -44,15 +44,26 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(own.unionByName(added)))
 
 
+def op8_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents")).drop("field")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_order_minhash, op3_language_id, op4_simhash_near_dedup, op5_embedding_near_dedup, op6_license_scan, op7_chat_format, op9_toxicity)
+    for f in (
+        op1_mix_sources, op2_order_minhash, op3_language_id, op4_simhash_near_dedup, op5_embedding_near_dedup,
+        op6_license_scan, op7_chat_format, op8_pack_buckets, op9_toxicity, op10_token_counts,
+    )
 }
 
 #: DuckDB SQL where SQL can express the rows.
