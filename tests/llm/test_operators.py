@@ -1,0 +1,498 @@
+"""The ten operators against brute force, round trips and held-out accuracy, and on
+nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sparkstore.llm import chat, language, licenses, mixing, orderminhash, packing, simhash, tokens, toxicity, vectors
+from sparkstore.llm.common import components, held_out, table
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, row long, word string, part int, copies string"
+
+
+def make(spark, rows):
+    """Odd documents, with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, lang, s, None, 7, 7, 7, "w", 7, "c") for i, t, lang, s in rows], SCHEMA)
+
+
+ODD = [
+    (1, None, None, None), (2, "", "en", "a"), (3, " \t\n", "en", None), (None, "the cat sat on the mat", "en", "a"), (4, "the cat sat on the mat", "en", "a"),
+    (4, "the cat sat on the mat", "en", "a"), (5, "%%% 123 !!!", None, "b"), (6, "word " * 30000, "en", "b"), (7, "x" * 70000, "en", "b"), (8, "É é 漢字 \U0001f600 ß", "fr", "c"),
+    (4, "another text with the same id", "en", "a"), (None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return make(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def find_roots(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def test_components_of_all_shapes(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = {}
+    for node, root in got.items():
+        groups.setdefault(root, set()).add(node)
+    assert sorted(map(len, groups.values())) == [2, 60, 61]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1
+
+
+def test_targets_fill_up():
+    def want(sizes, weights=(5, 2, 1), most=3):
+        w = [weights[i % 3] for i in range(len(sizes))]
+        left, capped = float(sum(sizes)), set()
+        while True:
+            level = left / (sum(x for i, x in enumerate(w) if i not in capped) or 1)
+            over = {i for i in range(len(sizes)) if i not in capped and level * w[i] > most * sizes[i]}
+            if not over:
+                return [most * sizes[i] if i in capped else level * w[i] for i in range(len(sizes))]
+            capped |= over
+            left = sum(sizes) - sum(most * sizes[i] for i in capped)
+
+    from pyspark.sql import SparkSession
+
+    spark, r = SparkSession.getActiveSession(), random.Random(3)
+    for _ in range(4):
+        sizes = [r.choice([0, 1, 5, 50, 1000, 10**6]) for _ in range(r.randint(1, 7))]
+        df = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], "source string, source_size long, n long")
+        got = [x.target for x in mixing.targets(df).orderBy("source").collect()]
+        assert got == pytest.approx(want(sizes))
+
+
+def test_mix_comes_near_its_targets(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == docs.count() and (got.copies <= 3).all() and (got.taken == got.copies * got["size"]).all()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1
+        assert g["size"].sum() == g.source_size.iloc[0]
+    share = got.groupby("source").agg(s=("source_size", "first"), t=("target", "first"))
+    assert share.t.sum() == pytest.approx(share.s.sum())
+    again = mixing.mix(docs.repartition(5)).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "copies"]].values)) == sorted(map(tuple, again[["doc_id", "copies"]].values))
+
+
+def test_rounding_keeps_expectations(spark):
+    items = spark.createDataFrame([("s", i, 1 + i % 5, 1) for i in range(200)], "source string, id long, size long, m long")
+    stats = spark.createDataFrame([("s", 600, 200, 5.0, 240.0)], "source string, source_size long, n long, weight double, target double")
+    mean = np.zeros(200)
+    for seed in range(12):
+        got = mixing.copies(items, stats, seed).toPandas().set_index("id")
+        assert abs((got.copies * got["size"]).sum() - 240) <= 2.5
+        mean[got.index] += got.copies / 12
+    by_size = [mean[[i for i in range(200) if i % 5 == k]].mean() for k in range(5)]  # 480 draws each
+    assert by_size == pytest.approx([0.4] * 5, abs=0.1)
+
+
+def test_mix_of_odd_rows(odd, none):
+    got = mixing.mix(odd).toPandas()
+    assert len(got) == len(ODD) and sorted(got["size"]) == sorted(len(words(t)) for _, t, _, _ in ODD)
+    assert (got.taken <= 3 * got["size"]).all()
+    assert mixing.mix(none).count() == 0
+    kept = mixing.apply_mix(odd)
+    assert kept.columns == odd.columns and kept.count() == got.copies.sum()
+    assert mixing.apply_mix(none).count() == 0
+
+
+# 2
+
+
+def brute_occurrences(h):
+    seen, out = {}, []
+    for x in h.tolist():
+        out.append(seen.get(x, 0))
+        seen[x] = seen.get(x, 0) + 1
+    return out
+
+
+def test_occurrences_and_kmers():
+    h = orderminhash.kmers("abababababa", 3)
+    assert len(h) == 9 and len(set(h.tolist())) == 2
+    assert orderminhash.occurrences(h).tolist() == brute_occurrences(h)
+    assert len(orderminhash.kmers("ab", 8)) == 1 and len(orderminhash.kmers("", 8)) == 0
+
+
+def test_signature_is_the_least_pair_in_text_order():
+    sign = orderminhash.Signer(k=4, picked=2, tuples=8)
+    text = "".join(random.Random(1).choice("abc ") for _ in range(5000))  # over a block
+    h = orderminhash.kmers(text, 4)
+    with np.errstate(over="ignore"):
+        numbered = (orderminhash._mix(h + orderminhash.occurrences(h) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
+        for j, key in enumerate(orderminhash._keys(8)):
+            at = np.sort(np.argsort(numbered ^ key, kind="stable")[:2])
+            out = np.zeros(1, np.uint64)
+            for n, i in enumerate(at):
+                out = orderminhash._mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + 1] + np.uint64(n + 1))
+            assert int(out[0] >> np.uint64(32)) == sign(text)[j]
+
+
+def test_order_counts_and_edits_rank():
+    sign, r = orderminhash.Signer(), random.Random(2)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300))
+    near = lambda x: orderminhash.likeness(sign(text), sign(x))
+    half = len(text) // 2
+    assert near(text) == 1.0
+    assert near(text[:-40] + "z" * 40) > near(text[: half + 400] + "q" * (half - 400)) > near("q" * len(text))
+    assert near(text[half:] + text[:half]) < 0.8  # the same k-mers, moved
+
+
+def test_edited_against_brute_force(spark, sf, odd, none):
+    docs = table(spark, sf, "documents")
+    got = orderminhash.edited(docs, part_rows=30).toPandas().set_index("doc_id")
+    rows = docs.toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
+    texts, sign = rows.text.tolist(), orderminhash.Signer()
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        after, r = texts[(i + 1) % len(texts)], got.loc[rows.doc_id[i]]
+        changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        if i % 20 == 0:
+            assert r.fingerprint == orderminhash.hexed(sign(t)) and r.edited_fingerprint == orderminhash.hexed(sign(changed))
+            assert r.near_next == orderminhash.likeness(sign(t), sign(after))
+    assert orderminhash.edited(odd, part_rows=2).count() == len(ODD)
+    assert orderminhash.edited(none).count() == 0 and orderminhash.fingerprints(odd).count() == len(ODD)
+    one = orderminhash.edited(odd.where("doc_id = 8")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+# 3
+
+
+def test_language_blocks_and_letters(monkeypatch):
+    counter, text = language.Counter(), "Héllo wörld 12 漢字! " * 50
+    whole = counter(text)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert (counter(text) == whole).all()
+    assert not language.has_letter("12 %%") and not language.has_letter(None) and language.has_letter("1é")
+
+
+def test_language_on_held_out_documents(spark, odd, none):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language.learn(docs, 100)
+    told = language.identify(docs.select("doc_id", "text", "lang"), model).where(held_out(F.col("doc_id"))).toPandas()
+    assert (told.lang == told.lang_pred).mean() > 0.97 and told.lang_score.between(0, 1).all()
+    assert (model.weights == 0).mean() > 0.3  # sparse
+    got = language.identify(odd, model)
+    assert got.columns == [*odd.columns, "lang_pred", "lang_score"]
+    for r in got.collect():
+        assert (r.lang_pred == "und") == (not language.has_letter(r.text))
+    assert language.identify(none, language.learn(none)).count() == 0
+    assert {r.lang_pred for r in language.identify(odd, language.learn(none)).collect()} == {"und"}
+
+
+# 4
+
+
+def test_masks_cover_every_pair():
+    masks, r = simhash.masks(), random.Random(4)
+    assert len(masks) == 31
+    for bits in itertools.chain(itertools.combinations(range(0, 64, 5), 4), (r.sample(range(64), r.randint(1, 4)) for _ in range(3000))):
+        diff = sum(1 << b for b in bits)
+        assert any(m & diff == 0 for m in masks)
+
+
+def test_fingerprint_against_the_definition():
+    import xxhash
+
+    for text in ("A b", "one two three four five six one two three four", " é É ÀB  c d\x0be ", "a"):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+        sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+        hs = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in sh]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint(None) == simhash.fingerprint(" ") == 0
+
+
+@pytest.mark.parametrize("bucket", [2048, 1])
+def test_links_lose_no_pair(spark, bucket):
+    r = random.Random(bucket)
+    seeds = [r.getrandbits(64) for _ in range(6)]
+    prints = list({s ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for s in seeds for _ in range(12)})
+    signed = [simhash._signed(p) for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), bucket=bucket)
+    got = {x.node: x.root for x in components(edges).collect()}
+    root = find_roots(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    for i in range(len(prints)):
+        for j in range(i):
+            same = got.get(signed[i], signed[i]) == got.get(signed[j], signed[j])
+            assert same == (root[i] == root[j])
+
+
+def test_simhash_of_odd_rows(odd, none):
+    got = simhash.near_duplicates(odd).toPandas()
+    assert len(got) == len(ODD)
+    by = got.groupby("fp").component_id.first()
+    assert by.loc[0] == 1 and 4 in by.values
+    kept = simhash.keep_one(odd)
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == odd.columns and texts.count("the cat sat on the mat") == 1 and "another text with the same id" in texts
+    assert sum(not words(t) for t in texts) == 1 and len(texts) == 7
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+# 5
+
+
+def brute_vectors(rows):
+    ids, out = [r[0] for r in rows], []
+    ok = [r[1] is not None and r[2] is not None and len(r[1]) > 0 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
+    unit = [np.array(r[1], float) / np.linalg.norm(np.array(r[1], float)) if k else None for r, k in zip(rows, ok, strict=True)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93]
+    root = find_roots(len(rows), pairs)
+    for i in range(len(rows)):
+        out.append((ids[i], sum(i in p for p in pairs), min(ids[j] for j in range(len(rows)) if root[j] == root[i])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slice_rows", [1024, 16])
+def test_vectors_against_brute_force(spark, slice_rows):
+    r = np.random.default_rng(slice_rows)
+    seeds = r.standard_normal((12, 8))
+    rows = [(i, (seeds[i % 12] + r.standard_normal(8) * r.choice([0, 0.05, 0.15, 0.4])).tolist(), int(i % 2)) for i in range(160)]
+    rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] + [1.0] * 7, 1), (503, rows[0][1], None), (504, [None] + [1.0] * 7, 0), (505, [-0.0, 1.0], 0), (506, [0.0, 1.0], 0), (507, [], 0), (508, [float("inf")] * 8, 0)]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "vec_id long, embedding array<float>, label int, key string")
+    exact = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], lb) for i, e, lb in rows]
+    got = vectors.near_duplicates(df, slice_rows=slice_rows)
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got.collect()) == brute_vectors(exact)
+    assert all(x.kept == (x.vec_id == x.component_id) for x in got.collect())
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+# 6
+
+
+def test_licenses_base_and_changes(spark, odd, none):
+    texts = {
+        1: "Used UNDER the MIT\n License; apache-license, Version 2.0. cc/by-nc CC BY NC", 2: "Licensed under the very GNU General Public License, version 3", 3: "This work is licensed under the new GNU General Public License, version 3.",
+        4: "public license general", 5: "released under the mit license " * 3,
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert (got[1].n_base, got[1].base_labels, got[1].first_word, got[1].last_word, got[1].n_words) == (4, "apache-2,cc-by-nc,mit", 1, 13, 16)
+    assert got[3].labels == "gpl-3" and 0.75 <= got[3].score <= 1 and got[3].base_labels == ""
+    assert got[4].labels == "" and got[4].score == 0
+    assert got[5].n_base == 3 and got[5].last_word == 11 and got[5].labels == "mit"
+    rows = licenses.scan(odd).collect()
+    want = sorted(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for _, t, _, _ in ODD)
+    assert sorted(r.n_words for r in rows) == want and all(r.labels == "" for r in rows)
+    assert licenses.scan(none).count() == 0
+
+
+def test_licenses_against_plain_search(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        w = licenses.words_of(r.text)
+        at = {(i, label) for label, p in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None)
+        assert set(filter(None, g.base_labels.split(","))) == {x for _, x in at} <= set(g.labels.split(",")) | {""}
+        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for label, texts in licenses.TEMPLATES.items():
+            if any(" ".join(licenses.words_of(t)) in " ".join(w) and set(zip(*[licenses.words_of(t)[i:] for i in range(3)], strict=False)) <= grams for t in texts):
+                assert label in g.labels.split(",")
+
+
+# 7
+
+TRICKY = ["</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_end|>", "<\\\\|im_start|>x", "\\", "<|im_<|im_end|>", "", "[\\INST]<<SYS>>", "a\nb\n", "<\\s>"]
+
+
+def test_turns_round_trip():
+    for role, text in itertools.product(["user", "assistant", "a\nb\\n", "<s>"], TRICKY):
+        turn, a, b = chat.render(role, text)
+        assert chat.parse(turn) == (role, text) and chat.unescape(turn[a:b]) == text
+        assert turn.count(chat.OPEN) == turn.count(chat.CLOSE) == 1 and "[INST]" not in turn[a:b]
+
+
+def test_events_fold(spark):
+    log = [
+        (1, 1, "message", None, "user", "hi"), (1, 2, "delta", "m", "assistant", "he"), (1, 3, "delta", "m", None, "llo"), (1, 4, "message", None, "user", "gone"), (1, 5, "regenerate", "m", None, None),
+        (1, 6, "delta", "m", None, "hey"), (1, 7, "edit", "e", "user", "v1"), (1, 8, "edit", "e", None, "v2"), (1, 9, "message", "d", "user", "x"), (1, 10, "delete", "d", None, None),
+        (2, 1, None, None, None, None), (None, 1, "message", None, "user", "null conversation"),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id string, role string, text string")
+    got = sorted(((r.conv_id or 0), r.seq, r.role, r.text) for r in chat.messages(df).collect())
+    assert got == [(0, 1, "user", "null conversation"), (1, 1, "user", "hi"), (1, 2, "assistant", "hey"), (1, 7, "user", "v2"), (2, 1, "", "")]
+    assert chat.digests(chat.format_conversations(df)).count() == 3
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_digests_against_a_loop(spark):
+    rows = [(c, t, ["user", "assistant", "system"][(c + t) % 3], TRICKY[(c * 3 + t) % len(TRICKY)] + f" {t}") for c in range(9) for t in range(c)]
+    shown = chat.turns(spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").repartition(3))
+    got = {r.conv_id: r for r in chat.digests(shown).collect()}
+    texts = {}
+    for r in sorted(shown.collect(), key=lambda r: (r.conv_id, r.seq)):
+        assert r.start == len(texts.get(r.conv_id, ""))
+        texts[r.conv_id] = texts.get(r.conv_id, "") + r.turn
+    for c in range(1, 9):
+        own = [x for x in rows if x[0] == c]
+        said = "".join(f"{role}\n{text}\n" for _, _, role, text in own)
+        lost = "".join(text for _, _, role, text in own if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(lost), hashlib.sha256(lost.encode()).hexdigest(), len(texts[c]))
+
+
+# 8
+
+
+def test_boundaries_are_optimal():
+    r = np.random.default_rng(8)
+    for _ in range(150):
+        n, k = r.integers(1, 8), int(r.integers(1, 5))
+        size, count = np.sort(r.choice(40, n, replace=False)), r.integers(1, 9, n)
+        cost = lambda tops, size=size, count=count: sum(c * (min(t for t in tops if t >= s) - s) for s, c in zip(size, count, strict=True))
+        got = packing.boundaries(size, count, k)
+        assert len(got) <= k and cost(got) == min(cost({*x, size[-1]}) for m in range(k) for x in itertools.combinations(size[:-1], m))
+    assert packing.boundaries(np.array([]), np.array([])) == []
+
+
+def test_packing_holds_every_word(spark, sf, odd, none):
+    for docs, rows in ((table(spark, sf, "documents"), None), (odd, ODD)):
+        got = packing.pack(docs, max_length=100, buckets=5, batch_tokens=1000).toPandas()
+        want = sorted(len(words(r.text)) for r in docs.select("text").collect())
+        own = got.groupby([got.doc_id.fillna(-1), "copy", got.groupby([got.doc_id.fillna(-1), "copy"])["piece"].transform("size")])
+        assert got["length"].sum() == sum(want) and (got["length"] <= got.bucket).all() and len(own) > 0
+        batch = got.groupby("batch").agg(n=("slot", "size"), b=("bucket", "first"), kinds=("bucket", "nunique"), top=("slot", "max"))
+        assert (batch.kinds == 1).all() and ((batch.n * batch.b <= 1000) | (batch.n == 1)).all() and (batch.top + 1 == batch.n).all()
+        assert got.bucket.nunique() <= 5
+    assert packing.pack(none).count() == 0
+
+
+# 9
+
+
+def test_gradient_against_differences():
+    net = toxicity.Network(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    f = toxicity.Features()
+    parts = [f.ids(toxicity.words(t)) for t in ("a bad one here", "fine", "one more fine text")]
+    hashed, (idx, length), y = f.hashed(), toxicity._padded(parts), np.array([1.0, 0.0, 1.0])
+    loss = lambda: net.gradient(net.inputs(hashed), hashed, idx, length, y)[0]
+    _, g = net.gradient(net.inputs(hashed), hashed, idx, length, y)
+    r = np.random.default_rng(0)
+    for k in ("Wf", "Ub", "Uf", "bf", "a", "o", "ob", "E", "C"):
+        p, flat = net.p[k].reshape(-1), np.abs(g[k].reshape(-1))
+        for i in {int(flat.argmax()), int(r.choice(np.flatnonzero(flat)))}:
+            old, eps = p[i], 3e-3
+            p[i] = old + eps
+            up = loss()
+            p[i] = old - eps
+            down = loss()
+            p[i] = old
+            assert (up - down) / (2 * eps) == pytest.approx(float(g[k].reshape(-1)[i]), rel=0.1, abs=3e-5), k
+
+
+def test_windows_cover_all_words():
+    for n in (0, 1, 48, 49, 84, 85, 1000):
+        got = toxicity.windows(np.arange(n))
+        assert set(np.concatenate(got).tolist()) == set(range(n)) and max(map(len, got)) <= toxicity.WINDOW
+        assert all(a[0] < b[0] <= a[-1] + 1 for a, b in itertools.pairwise(got))
+    assert "".join(toxicity.words("x" * 1000)) == "x" * 1000
+
+
+def test_toxicity_on_held_out_documents(spark, none):
+    r = random.Random(9)
+    plain = ["".join(r.choice("aeioulrnst") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    rows = []
+    for i in range(600):
+        w, bad = [r.choice(plain) for _ in range(r.randint(5, 150))], i % 3 == 0
+        for _ in range(3 * bad):
+            w.insert(r.randrange(len(w)), r.choice(["grumpf", "grumpfen", "xyzzer"]))
+        rows.append((i, " ".join(w), int(bad)))
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(601, None), (602, ""), (None, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).withColumn("h", held_out(F.col("doc_id"))).toPandas()
+    own = got[got.h & (got.doc_id < 600)]
+    assert len(got) == 603 and got.tox_score.between(0, 1).all()
+    assert (own.tox_predicted == (own.doc_id % 3 == 0)).mean() > 0.95
+    assert got[got.doc_id.isin([601, 602])].tox_score.nunique() == 1
+    assert toxicity.score(none, labels).count() == 0
+    assert toxicity.score(docs, labels.limit(0)).count() == 603
+
+
+def test_scores_do_not_hang_on_company():
+    net = toxicity.Network(2)
+    texts = ["one two three " * 40, "four", "", None, "five six " * 300]
+    together = toxicity.score_texts(net, texts)
+    assert together == pytest.approx([toxicity.score_texts(net, [t])[0] for t in texts], abs=1e-5)
+
+
+# 10
+
+
+def brute_attribute(ends, bounds, rule):
+    n, crossing, start = [0] * (len(bounds) - 1), [0] * (len(bounds) - 1), 0
+    for e in ends:
+        by = [sum(bounds[s] <= x < bounds[s + 1] for x in range(start, e)) for s in range(len(n))]
+        touched = [s for s, b in enumerate(by) if b]
+        own = {"first": touched[0], "last": touched[-1], "most": max(touched, key=lambda s: (by[s], -s))}[rule]
+        n[own] += 1
+        crossing[own] += len(touched) > 1
+        start = e
+    return n, crossing
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_attribution_against_brute_force(rule):
+    r = random.Random(rule)
+    for _ in range(200):
+        size = r.randint(0, 40)
+        ends = sorted({r.randint(1, size) for _ in range(size // 3)} | {size}) if size else []
+        bounds = [0, *sorted(r.randint(0, size) for _ in range(r.randint(0, 6))), size]
+        got = tokens.attribute(np.array(ends, int), np.array(bounds), rule)
+        assert tuple(x.tolist() for x in got) == brute_attribute(ends, bounds, rule)
+
+
+def test_tokens_add_up(spark, sf, odd, none):
+    with open(tokens.TOKENIZER, "rb") as f:
+        coding = tokens.Encoder(f.read()).coding
+    for docs in (table(spark, sf, "documents"), odd):
+        got = tokens.count_tokens(docs).toPandas()
+        want = sorted(len(coding.encode_ordinary(r.text or "")) for r in docs.select("text").collect())
+        assert got.n_tokens.sum() == sum(want) and got.n_chars.sum() == sum(len(r.text or "") for r in docs.select("text").collect())
+    fields = tokens.count_tokens(make(spark, [(1, "ab\ncd", "en", None)]), fields=("lang", "source", "text"), by="field", joiner="").toPandas()
+    assert fields.n_chars.tolist() == [2, 0, 5] and fields.n_tokens.sum() == len(coding.encode_ordinary("enab\ncd"))
+    assert fields.n_crossing.sum() >= 0 and fields.field.tolist()[0] == 0
+    lines = tokens.count_tokens(make(spark, [(1, "a\n\n\nb", None, None)])).toPandas()
+    assert lines.n_chars.tolist() == [2, 1, 1, 1] and lines.n_crossing.sum() == 1
+    assert tokens.count_tokens(none).count() == 0
+    with pytest.raises(ValueError):
+        tokens.count_tokens(none, rule="none")
+
+
+def test_frames_have_fixed_columns(spark, sf):
+    assert pd.DataFrame(packing.pack(table(spark, sf, "documents")).dtypes)[0].tolist() == ["doc_id", "copy", "piece", "start", "length", "bucket", "batch", "slot"]
