@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import content, dos_date, dos_time, path_fault, canonical, sha, size_bucket, varint
-from ..operators import codecs, content as store, delta, extents, gate, journal, packing, resemblance, splice, validate, verify
+from ..operators import chunking, codecs, content as store, delta, extents, gate, journal, packing, recipes, resemblance, splice, validate, verify
 from ..shared import cut
 
 CHUNK = 4096
@@ -488,3 +488,34 @@ def release_gate(spark, sf):
   ELSE lower(lpad(hex(event_id % 128 + 128), 2, '0') || lpad(hex(event_id // 128 % 128 + 128), 2, '0') || lpad(hex(event_id // 16384), 2, '0')) END AS varint FROM events""")
 def varint_and_buckets(spark, sf):
     return sources.table(spark, sf, "events").select("event_id", size_bucket(F.col("event_id")).cast("long").alias("bucket"), varint(F.col("event_id")).alias("varint"))
+
+
+@query(f"WITH {DOCS} SELECT path, size, sha256(data) AS sha, true AS tiles FROM m")
+def content_defined_chunks(spark, sf):
+    """Content-defined chunks of 256, 1,024 and 8,192 bytes; each member is made of its own."""
+    m = sources.documents(spark, sf)
+    c = chunking.chunks(m, 256, 1024, 8192)
+    before = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    fits = c.withColumn("fits", F.coalesce(F.sum("len").over(before), F.lit(0)) == F.col("off"))
+    made = fits.groupBy("path").agg(F.sum("len").alias("total"), F.every((F.col("fits")) & (F.col("len") <= 8192)).alias("ok"))
+    told = m.select("path", "size", sha(F.col("data")).alias("sha")).join(made, "path", "left")
+    return told.select("path", "size", "sha", ((F.coalesce("total", F.lit(0)) == F.col("size")) & F.coalesce("ok", F.lit(True))).alias("tiles"))
+
+
+@query()
+def zip_export_plan(spark, sf):
+    return recipes.export_plan(sources.documents(spark, sf))
+
+
+@query(f"WITH {DOCS} SELECT count(*)::BIGINT AS entries, sum(size)::BIGINT AS bytes, count(DISTINCT source)::BIGINT AS owners FROM m")
+def store_info(spark, sf):
+    m = sources.documents(spark, sf)
+    return m.agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.countDistinct("source").alias("owners"))
+
+
+@query(f"""WITH {DOCS} SELECT lang || '/' || source AS parent, doc_id || '.txt' AS name, size FROM m WHERE starts_with(path, 'en/')""")
+def list_children(spark, sf):
+    """Files below one directory: a prefix filter on the path."""
+    m = sources.documents(spark, sf).where(F.col("path").startswith("en/"))
+    parts = F.split("path", "/")
+    return m.select(F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("parent"), F.element_at(parts, -1).alias("name"), "size")

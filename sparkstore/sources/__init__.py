@@ -34,11 +34,24 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """Files under ``root``: ``(path, mtime, size, data)``, paths relative to it.
 
-    The data column is read only where a query uses it.
+    The data column is read only where a query uses it. Spark's readers leave out
+    files without bytes, so those are listed and added; names that begin with
+    ``_`` or ``.`` are hidden, as they are to the readers.
     """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    own = lambda full: F.substr(full, F.instr(full, base) + len(base))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    return files.select(F.expr(f"substring(path, instr(path, '{base}') + {len(base)})").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("content").alias("data"))
+    files = files.select(own(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("content").alias("data"))
+    empty, found = [], fs.listFiles(at, True)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toUri().getPath().removeprefix(base)
+        if f.getLen() == 0 and not any(p[0] in "._" for p in name.split("/")):
+            empty.append((name, f.getModificationTime()))
+    none = spark.createDataFrame(empty, "path string, ms long")
+    return files.unionByName(none.select("path", F.timestamp_millis("ms").alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("data")))
 
 
 def classify(listing: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators that SQL does not reach, and edges of those that it does."""
 
+import io
+import random
+import zipfile
 import zlib
 
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkstore import sources, streaming
 from sparkstore.functions import extension, path_fault
-from sparkstore.operators import codecs, content, delta, extents, gate, journal, packing, resemblance, validate
+from sparkstore.operators import chunking, codecs, content, delta, extents, gate, journal, packing, recipes, resemblance, validate
 from sparkstore.shared import cut
 
 BYTES = st.binary(max_size=400)
@@ -196,3 +199,37 @@ def test_layout_is_partition_free(spark, sf):
     one = sorted(map(tuple, content.layout(blobs).collect()))
     assert one == sorted(map(tuple, content.layout(blobs.repartition(7)).collect()))
     assert [r[0] for r in one] == list(range(len(one)))
+
+
+def test_cuts_against_a_byte_loop(monkeypatch):
+    monkeypatch.setattr(chunking, "BLOCK", 50)
+    table, r = [int(x) for x in chunking.gear()], random.Random(5)
+    for _ in range(40):
+        data = bytes(r.choice((r.randrange(256), 7)) for _ in range(r.randint(0, 2500)))
+        least, mean, most = r.choice([(16, 64, 256), (64, 64, 300), (1, 32, 33), (100, 128, 128)])
+        want, start = [], 0
+        while start < len(data):
+            h, end = 0, min(len(data), start + most)
+            for i in range(start + least, end):
+                h = (h << 1) + table[data[i]]
+                if h & (2 * mean - 1 if i < start + mean else mean // 2 - 1) == 0:
+                    end = i + 1
+                    break
+            want.append(end)
+            start = end
+        assert chunking.cuts(data, least, mean, most) == want
+
+
+def test_recipes_rebuild(spark):
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("a.txt", "hello " * 500, zipfile.ZIP_DEFLATED, 6)
+        z.writestr("b.bin", bytes(range(256)), zipfile.ZIP_STORED)
+        z.writestr("empty", b"")
+    data = made.getvalue()
+    rows = [("z", bytearray(data), len(data)), ("cut", bytearray(data[:-30]), 0), ("no", bytearray(b"plain"), 5), ("pre", bytearray(b"#!" + data), 0)]
+    df = spark.createDataFrame(rows, "path string, data binary, size long")
+    recipe = recipes.make(df)
+    assert {r.path: bytes(r.data) for r in recipes.rebuild(recipe).collect()} == {p: bytes(d) for p, d, _ in rows}
+    own = {(r.part, r["mode"]) for r in recipe.where("path = 'z'").collect()}
+    assert ("payload", recipes.REGENERATE) in own and ("stored", recipes.RETAIN) in own
