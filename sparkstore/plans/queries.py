@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import content, dos_date, dos_time, path_fault, canonical, sha, size_bucket, varint
-from ..operators import chunking, codecs, content as store, delta, extents, gate, journal, packing, recipes, resemblance, splice, validate, verify
+from ..operators import chunking, codecs, content as store, delta, extents, gate, journal, packing, planning, recipes, resemblance, splice, validate, verify
 from ..shared import cut
 
 CHUNK = 4096
@@ -519,3 +519,87 @@ def list_children(spark, sf):
     m = sources.documents(spark, sf).where(F.col("path").startswith("en/"))
     parts = F.split("path", "/")
     return m.select(F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("parent"), F.element_at(parts, -1).alias("name"), "size")
+
+
+_PROGRAMS = """p0 AS (SELECT l_partkey AS base, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS target, (l_quantity * 10)::BIGINT AS raw, 300 + l_orderkey % 700 AS target_len FROM lineitem)"""
+
+
+def _programs(spark, sf):
+    l = sources.table(spark, sf, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
+    return l.select(F.col("l_partkey").alias("base"), n.cast("long").alias("target"), (F.col("l_quantity") * 10).cast("long").alias("raw"), (F.col("l_orderkey") % 700 + 300).alias("target_len"))
+
+
+@query(f"""WITH RECURSIVE {_PROGRAMS}, g AS (SELECT base, target, raw, target_len, 0::BIGINT AS pack, raw AS used, target_len::DOUBLE AS least FROM p0 WHERE target = 1
+  UNION ALL SELECT p.base, p.target, p.raw, p.target_len, CASE WHEN g.used + p.raw > 4096 OR (g.used + p.raw) / least(g.least, p.target_len) > 2 THEN pack + 1 ELSE pack END,
+    CASE WHEN g.used + p.raw > 4096 OR (g.used + p.raw) / least(g.least, p.target_len) > 2 THEN p.raw ELSE g.used + p.raw END,
+    CASE WHEN g.used + p.raw > 4096 OR (g.used + p.raw) / least(g.least, p.target_len) > 2 THEN p.target_len ELSE least(g.least, p.target_len) END
+  FROM g JOIN p0 p ON p.base = g.base AND p.target = g.target + 1)
+SELECT base, target, raw, target_len::DOUBLE AS len, pack FROM g""")
+def residual_pack_plan(spark, sf):
+    return planning.residual_packs(_programs(spark, sf), 4096)
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS target, l_suppkey % 40 AS pack, (l_suppkey % 40 + 1) * 100 AS pack_bytes FROM lineitem)
+SELECT target, (sum(pack_bytes) + 50) / 1000 AS amplification, count(*)::BIGINT AS packs FROM r GROUP BY 1""")
+def mosaic_read_amplification(spark, sf):
+    l = sources.table(spark, sf, "lineitem")
+    recipes_ = l.select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("base"), F.lit(50).alias("delta_len"), F.lit(1000).alias("target_len"))
+    s = sources.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    return planning.mosaic_amplification(recipes_, s.withColumn("pack", F.col("id") % 40).withColumn("pack_bytes", (F.col("pack") + 1) * 100))
+
+
+@query("""WITH r AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_totalprice::BIGINT AS bytes, (o_totalprice / 3)::BIGINT + 1 AS least FROM orders)
+SELECT a.g, a.pos::BIGINT AS pos, b.pos::BIGINT AS pos2, (a.bytes + b.bytes)::BIGINT AS total FROM r a JOIN r b ON a.g = b.g AND b.pos - a.pos BETWEEN 1 AND 8
+WHERE a.bytes + b.bytes <= 2097152 AND (a.bytes + b.bytes) / least(a.least, b.least) <= 8""")
+def pair_fusion_candidates(spark, sf):
+    o = sources.table(spark, sf, "orders")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    near = lambda c: F.round(c).cast("long")
+    return planning.fusion_candidates(o.select(F.col("o_custkey").alias("g"), n.alias("pos"), near(F.col("o_totalprice")).alias("bytes"), (near(F.col("o_totalprice") / 3) + 1).alias("least")), "g")
+
+
+@query("""WITH p AS (SELECT l_returnflag || l_linestatus AS corpus, 'p' || l_linenumber % 3 AS plan, sum(l_suppkey % 7)::BIGINT AS bytes FROM lineitem GROUP BY 1, 2)
+SELECT corpus, arg_min(plan, struct_pack(bytes, n := plan <> 'p1', plan)) AS plan, min(bytes) AS bytes FROM p GROUP BY 1""")
+def plan_portfolio(spark, sf):
+    l = sources.table(spark, sf, "lineitem")
+    p = l.groupBy(F.concat("l_returnflag", "l_linestatus").alias("corpus"), F.concat(F.lit("p"), F.col("l_linenumber") % 3).alias("plan")).agg(F.sum(F.col("l_suppkey") % 7).alias("bytes"))
+    return planning.portfolio(p, "corpus", "p1")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS len FROM conversations),
+o AS (SELECT conv_id, turn, len, coalesce(sum(len) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN conv_id % 5 = 0 THEN turn % 2 ELSE 0 END AS off FROM t)
+SELECT conv_id, NOT (conv_id % 5 = 0 AND count(*) > 1) AND min(len) > 0 AS whole FROM o GROUP BY 1""")
+def projection_coverage(spark, sf):
+    t = sources.table(spark, sf, "conversations").select("conv_id", "turn", F.octet_length(content(F.coalesce("text", F.lit("")))).cast("long").alias("len"))
+    o = extents.offsets(t, "conv_id", "turn", "len")
+    size = F.sum("len").over(Window.partitionBy("conv_id"))
+    return planning.coverage(o.withColumn("size", size).withColumn("off", F.col("off") + F.when(F.col("conv_id") % 5 == 0, F.col("turn") % 2).otherwise(0)), "conv_id", "size")
+
+
+@query("""WITH e AS (SELECT l_orderkey % 1000 AS target, l_partkey % 300 + 900 AS base FROM lineitem)
+SELECT DISTINCT target, 'base_not_direct' AS fault FROM e WHERE base IN (SELECT target FROM e)
+UNION SELECT target, 'base_twice' FROM e GROUP BY target, base HAVING count(*) > 1
+UNION SELECT target, 'too_many_bases' FROM e GROUP BY target HAVING count(DISTINCT base) > 4""")
+def depth_violations(spark, sf):
+    l = sources.table(spark, sf, "lineitem")
+    return planning.depth_faults(l.select((F.col("l_orderkey") % 1000).alias("target"), (F.col("l_partkey") % 300 + 900).alias("base")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size * 20 + 32 < p_partkey % 900 * 0.92 THEN 2 WHEN p_size * 22 + 16 < p_partkey % 900 THEN 3 WHEN p_size * 21 + 16 < p_partkey % 900 THEN 1 ELSE 0 END::BIGINT AS codec FROM part""")
+def update_codec_rule(spark, sf):
+    n = F.col("p_size")
+    p = sources.table(spark, sf, "part").select("p_partkey", (n * 20).alias("audio"), (n * 22).alias("dict"), (n * 21).alias("plain"), (F.col("p_partkey") % 900).alias("raw"))
+    return planning.update_codec(p).select("p_partkey", "codec")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'd' || c_custkey % 50 || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/f' || c_custkey END AS path,
+  CASE WHEN c_custkey % 2 = 0 THEN 'symlink' ELSE 'file' END AS kind, CASE c_custkey % 7 WHEN 1 THEN '/etc' WHEN 2 THEN '../x' ELSE 'ok' END AS target FROM customer)
+SELECT path, 'target' AS fault FROM c WHERE kind = 'symlink' AND target IN ('/etc', '../x')
+UNION ALL SELECT path, 'parent' FROM c WHERE kind = 'symlink' AND path IN (SELECT string_split(path, '/')[1] FROM c WHERE contains(path, '/'))""")
+def unsafe_symlinks(spark, sf):
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("d"), k % 50, F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("/f"), k)))
+    target = F.when(k % 7 == 1, "/etc").when(k % 7 == 2, "../x").otherwise("ok")
+    c = sources.table(spark, sf, "customer").select(path.alias("path"), F.when(k % 2 == 0, "symlink").otherwise("file").alias("kind"), target.alias("target"))
+    return planning.unsafe_links(c)
