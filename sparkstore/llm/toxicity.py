@@ -323,7 +323,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, rows / n)]) if sizes else F.create_map()
     drawn = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("toxic")]) if sizes else own.limit(0)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id").select("doc_id", "text", "toxic").collect()
+    # the drawn ids are bounded by ``rows``: sent to the texts, which then stay where they are
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
     found = sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))
     drawn_of = lambda k: max(1, sum(r["toxic"] == k for r in found))
     return [r["text"] for r in found], [r["toxic"] for r in found], tuple(sizes.get(k, 1) / drawn_of(k) for k in (0, 1))
