@@ -549,13 +549,13 @@ def mosaic_read_amplification(spark, sf):
     return planning.mosaic_amplification(recipes_, s.withColumn("pack", F.col("id") % 40).withColumn("pack_bytes", (F.col("pack") + 1) * 100))
 
 
-@query("""WITH r AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_totalprice::BIGINT AS bytes, (o_totalprice / 3)::BIGINT + 1 AS least FROM orders)
+@query("""WITH r AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, floor(o_totalprice)::BIGINT AS bytes, floor(o_totalprice / 3)::BIGINT + 1 AS least FROM orders)
 SELECT a.g, a.pos::BIGINT AS pos, b.pos::BIGINT AS pos2, (a.bytes + b.bytes)::BIGINT AS total FROM r a JOIN r b ON a.g = b.g AND b.pos - a.pos BETWEEN 1 AND 8
 WHERE a.bytes + b.bytes <= 2097152 AND (a.bytes + b.bytes) / least(a.least, b.least) <= 8""")
 def pair_fusion_candidates(spark, sf):
     o = sources.table(spark, sf, "orders")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
-    near = lambda c: F.round(c).cast("long")
+    near = lambda c: F.floor(c).cast("long")
     return planning.fusion_candidates(o.select(F.col("o_custkey").alias("g"), n.alias("pos"), near(F.col("o_totalprice")).alias("bytes"), (near(F.col("o_totalprice") / 3) + 1).alias("least")), "g")
 
 
