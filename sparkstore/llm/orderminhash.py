@@ -185,7 +185,9 @@ def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPL
     leads = F.col("doc_id").eqNullSafe(F.get(F.map_values(head), F.array_position(F.map_keys(head), F.col("part")).cast("int") - 1)) if line else F.lit(False)
     again = F.when(leads, F.array(F.struct(F.element_at(lead, F.col("part")).alias("part"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>"))
     dealt = docs.withColumn("part", numbered.cast("int")).select("doc_id", "text", F.inline(F.concat(to, again)).alias("part", "role"))
-    dealt = dealt.repartition(max(1, len(line)), "part").sortWithinPartitions("part", "role", F.col("doc_id").desc_nulls_last(), "text")
+    # a partition for each part: hashing part numbers would lay several on one
+    place = F.array_position(F.array(*map(F.lit, line or [0])), F.col("part")).cast("int") - 1
+    dealt = dealt.repartitionById(max(1, len(line)), place).sortWithinPartitions("part", "role", F.col("doc_id").desc_nulls_last(), "text")
     dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with nulls to doubles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
