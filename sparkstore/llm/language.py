@@ -29,7 +29,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    # the pattern also takes numerals such as a half, which are no letters
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 class Counter:
@@ -40,7 +41,7 @@ class Counter:
     """
 
     def __init__(self):
-        self.letter = np.array([_LETTER.match(chr(i)) is not None for i in range(1 << 16)])
+        self.letter = np.array([chr(i).isalpha() for i in range(1 << 16)])
         self.letter[-1] = True  # stands for all characters beyond the first plane
 
     def __call__(self, text: str) -> np.ndarray:

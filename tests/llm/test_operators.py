@@ -196,7 +196,8 @@ def test_language_blocks_and_letters(monkeypatch):
     whole = counter(text)
     monkeypatch.setattr(language, "BLOCK", 7)
     assert (counter(text) == whole).all()
-    assert not language.has_letter("12 %%") and not language.has_letter(None) and language.has_letter("1é")
+    assert not language.has_letter("12 %% ½²") and language.has_letter("½ a")
+    assert not language.has_letter("") and not language.has_letter(None) and language.has_letter("1é")
 
 
 def test_language_on_held_out_documents(spark, odd, none):
