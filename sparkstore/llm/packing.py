@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import cut, word_count
+from .tokens import token_count
 
 #: Longest piece; longer documents are cut into pieces, so the histogram that
 #: comes to the driver has at most so many lengths and one.
 MAX_LENGTH = 2048
 BUCKETS = 16
-#: Words of a batch, padding included.
+#: Length of a batch, padding included.
 BATCH_TOKENS = 16384
 #: Rows of a shard of a bucket, at least; and batches, at least.
 SHARD_ROWS, SHARD_BATCHES = 4096, 8
@@ -95,3 +96,12 @@ def pack(docs: DataFrame, length: Column | None = None, max_length: int = MAX_LE
     placed = each.withColumn("rank", F.row_number().over(line) - 1)
     batch = F.col("index").cast("long") * (1 << 50) + F.col("shard").cast("long") * (1 << 20) + F.floor(F.col("rank") / F.col("room"))
     return placed.select("doc_id", "copy", "piece", "start", "length", "bucket", batch.alias("batch"), (F.col("rank") % F.col("room")).cast("long").alias("slot"))
+
+
+def pack_tokens(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """``pack`` with lengths, and so starts, in tokens of operator 10's vocabulary.
+
+    ``pack`` reads lengths twice; texts are encoded once, and their counts cut.
+    """
+    counted = cut(docs.select("doc_id", token_count(docs.sparkSession, F.col("text")).alias("n")))
+    return pack(counted, F.col("n"), max_length, buckets, batch_tokens)

@@ -45,7 +45,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import short_batches
@@ -43,6 +43,10 @@ class Encoder:
         ids = self.coding.encode_to_numpy(text, disallowed_special=())
         return np.cumsum(self.coding.token_bytes[ids])
 
+    def count(self, text: str) -> int:
+        """Tokens of a text; special strings are ordinary text."""
+        return len(self.coding.encode_to_numpy(text, disallowed_special=()))
+
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str = "most") -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of those touch another section too.
@@ -65,6 +69,21 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str = "most") -> tuple
     return np.bincount(own, minlength=n), np.bincount(own[crossing], minlength=n)
 
 
+def token_count(spark: SparkSession, text: Column, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Column:
+    """Number of tokens of a whole text; 0 for null."""
+    short_batches(spark)
+    with open(tokenizer, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(vocabulary.value, pattern)
+        for texts in batches:
+            yield pd.Series([encoder.count(t) if t else 0 for t in texts], dtype="int64")
+
+    return counted(text)
+
+
 def count_tokens(docs: DataFrame, fields: Sequence[str] = ("text",), by: str = "line", joiner: str = "\n", rule: str = "most", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``(doc_id, section, field, start, n_chars, n_tokens, n_crossing)``: a row for each
     section of each row of ``docs``.
