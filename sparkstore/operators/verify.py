@@ -38,3 +38,8 @@ def merkle_roots(leaves: DataFrame, by: str, order: str) -> DataFrame:
 def mismatches(rows: DataFrame) -> DataFrame:
     """Rows whose declared ``sha`` or ``crc`` is not that of their ``data``."""
     return rows.where((F.sha2("data", 256) != F.col("sha")) | (F.crc32("data") != F.col("crc")))
+
+
+def crc_mismatches(rows: DataFrame) -> DataFrame:
+    """Rows whose stored ``crc`` is absent or not that of their ``data``, with the ``found`` one."""
+    return rows.withColumn("found", F.crc32("data")).where(~F.col("crc").eqNullSafe(F.col("found")))

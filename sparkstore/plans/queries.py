@@ -213,6 +213,13 @@ def crc_audit(spark, sf):
     return sources.table(spark, sf, "nation").select("n_nationkey", F.crc32(content(F.col("n_name"))).alias("crc"))
 
 
+@query()
+def crc_audit_documents(spark, sf):
+    m = sources.documents(spark, sf)
+    stored = F.when(F.col("doc_id") % 10 == 0, F.concat("data", F.lit(b"!"))).otherwise(F.col("data"))
+    return verify.crc_mismatches(m.select("doc_id", "size", stored.alias("data"), F.crc32("data").alias("crc"))).select("doc_id", "size", "crc", "found")
+
+
 @query(f"""WITH {DOCS} SELECT source, count(*)::BIGINT AS files, sha256(string_agg(path || chr(10) || sha256(data) || chr(10), '' ORDER BY string_split(path, '/'))) AS digest FROM m GROUP BY 1""")
 def tree_digest_by_source(spark, sf):
     return verify.tree_digest(sources.documents(spark, sf), "source")
