@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import cut, short_batches
 
 #: Strings that mark turns here or in other common templates. Each starts with a
 #: character that it has nowhere else, so two never overlap.
@@ -112,8 +112,13 @@ def messages(events: DataFrame) -> DataFrame:
     without one are messages too, deletes and regenerations excepted, which do
     nothing. Messages that never got text are empty ones.
 
-    Events are folded by message, not by conversation: a conversation that holds
-    most of the log is spread over the tasks.
+    Events are folded by message, and what a regeneration drops is found by a window
+    over the starts of a conversation's messages: that gives what one fold of the
+    conversation in order of seq gives, but texts of a conversation that holds most
+    of the log are spread over the tasks. Events of one message and seq go by kind,
+    then text. A null conv_id is a conversation of its own; a null seq comes first.
+    Equal events are events of their own, extra columns are ignored, and no
+    events give no messages.
     """
     have = set(events.columns)
     kind = F.coalesce(F.col("kind"), F.lit("message")) if "kind" in have else F.lit("message")
@@ -175,10 +180,37 @@ def turns(final: DataFrame) -> DataFrame:
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
-    """Folds a log into final messages and renders them: see ``messages``, ``turns``."""
+    """Folds a log into final messages and renders them: see ``messages``, ``turns``.
+
+    Nulls, ties, repeats and clashing columns are as stated there. A conversation is
+    rendered and hashed by one task, as its offsets and its hash go in order; that
+    task streams, and holds one turn.
+    """
     return turns(messages(events))
 
 
+def as_events(final: DataFrame) -> DataFrame:
+    """A log ``(conv_id, seq, kind, message_id, role, text)`` that folds into the
+    messages ``final(conv_id, seq, role, text)``, one for each row.
+
+    Each text comes as two streamed drafts, an edit, a regeneration that overrules
+    them and drops a stray message that began meanwhile, and then in three deltas.
+    Rows of one seq stay messages of their own with that order; a null seq is the
+    least one. The log is cut, so that its message ids are drawn once.
+    """
+    step, n = 8, F.length("text")
+    base = F.coalesce(F.col("seq").cast("long") * step, F.lit(-(1 << 62)))
+    third = F.floor(n / 3).cast("int")
+    start = F.substring("text", 1, F.lit(16))
+    event = lambda at, kind, text, stray=False: F.struct((base + at).alias("seq"), F.lit(kind).alias("kind"), F.concat("id", F.lit("s" if stray else "m")).alias("message_id"), F.lit("system").alias("role") if stray else F.col("role"), text.alias("text"))
+    events = F.array(
+        event(0, "delta", start), event(1, "delta", F.lit(" draft")), event(2, "message", start, stray=True), event(3, "edit", F.concat(start, F.lit(" edited"))), event(4, "regenerate", F.lit(None).cast("string")),
+        event(5, "delta", F.substring("text", F.lit(1), third)), event(6, "delta", F.substring("text", third + 1, third)), event(7, "delta", F.substring("text", third * 2 + 1, n - third * 2)),
+    )
+    own = final.select("conv_id", F.col("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().cast("string").alias("id"))
+    return cut(own.select("conv_id", F.inline(events)))
+
+
 def digests(shown: DataFrame) -> DataFrame:
     """What the rendered turns say, read back from them: one row a conversation.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 #: ASCII white space; words of several operators are the runs between it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows a Python worker holds at once; texts are long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes that a Python worker is sent at once; texts are long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: A key of over 1/SPREAD of all rows is hot, so there are at most SPREAD hot keys.
+SPREAD = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, and so a Python worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    """Bounds the rows and bytes of an Arrow batch, and so a Python worker's memory.
+
+    Spark reads both settings when it plans, after the operator has returned its
+    frame, so they stay set in the session; smaller settings are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))  # a size with another unit was set by hand
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, most)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there.
+    """Writes ``df`` as a Parquet table below the shared checkpoint folder and reads it there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) is one made. Lost executors lose nothing of it.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
+    and the master is local (tests) is one made; elsewhere a driver's own folder
+    would be out of the executors' sight, and that is an error. Lost executors
+    lose nothing of it. Unlike a checkpoint, the table has its true size, so what
+    comes after it is planned by that and not by products of estimates.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -57,48 +73,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold_of(doc_id) == 2, F.lit(False))
 
 
+def look_up(rows: DataFrame, key: str, known: DataFrame, value: str, many: int, by: str) -> DataFrame:
+    """``rows`` with ``value`` of ``known(key, value, n)`` by their ``key``, null where it is absent.
+
+    ``n`` is how many rows have the key, or more, of ``many`` in all. What belongs
+    to the hot keys, of which there are at most SPREAD (twice as many where n counts
+    both ends of edges), is sent to the rows; the other rows are shuffled by key.
+    Hot rows go along by a hash of ``by``, so no task gets all rows of a key.
+    ``known`` is read twice: it should be cut.
+    """
+    told, salt = fresh("told"), fresh("salt")
+    is_hot = F.col("n") * SPREAD > many
+    hot = F.broadcast(known.where(is_hot).select(key, F.struct(F.col(value).alias("v")).alias(told)))
+    near = rows.join(hot, key, "left")
+    near = near.withColumn(salt, F.when(F.col(told).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(by).bitwiseOR(F.lit(1))))
+    cold = known.where(~is_hot).select(key, F.lit(0).cast("long").alias(salt), value)
+    out = near.join(cold, [key, salt], "left")
+    return out.select(*rows.columns, F.when(F.col(told).isNull(), F.col(value)).otherwise(F.col(f"{told}.v")).alias(value))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, root)``.
 
     Randomised contraction: each round maps every node to the node of smallest
     keyed hash in its closed neighbourhood and keeps the edges between different
     images. A constant share of nodes goes per round whatever the graph's shape,
-    so rounds grow with the logarithm of the longest path; each is two joins and
-    two aggregations that combine before their shuffle, so a node of very many
-    edges meets no single task but in joins, which Spark splits. ``root`` is one
-    node of the component, not a chosen one. Nodes without edges do not appear.
+    so rounds grow with the logarithm of the longest path. Aggregations combine
+    before their shuffle and joins are ``look_up``, so a node of very many edges,
+    or a component of very many nodes, meets no single task. ``root`` is one node
+    of the component, not a chosen one. Nodes without edges do not appear.
     """
-    edge = cut(
-        edges.where("a != b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    edge = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     images: list[DataFrame] = []
-    while not edge.isEmpty():
+    while many := edge.count():
         key = len(images)
         ranked = lambda c: F.struct(F.xxhash64(F.lit(key), c).alias("h"), c.alias("n"))
         both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        image = cut(
-            both.groupBy("a")
-            .agg(F.min(ranked(F.col("b"))).alias("near"))
-            .select("a", F.least("near", ranked(F.col("a"))).getField("n").alias("to"))
-        )
+        near = both.groupBy("a").agg(F.min(ranked(F.col("b"))).alias("near"), F.count("*").alias("n"))
+        image = cut(near.select("a", F.least("near", ranked(F.col("a"))).getField("n").alias("to"), "n"))
         images.append(image)
-        left = image.select("a", F.col("to").alias("ta"))
-        right = image.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        edge = cut(
-            edge.join(left, "a")
-            .join(right, "b")
-            .where("ta != tb")
-            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-            .distinct()
-        )
+        moved = look_up(edge, "a", image.select("a", F.col("to").alias("ta"), "n"), "ta", many, "b")
+        moved = look_up(moved, "b", image.select(F.col("a").alias("b"), F.col("to").alias("tb"), "n"), "tb", many, "a")
+        edge = cut(moved.where("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not images:
         return edge.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = images[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
-    for image in images[1:]:
-        step = image.select(F.col("a").alias("root"), "to")
-        out = out.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    # images are put together from the last, which is the smallest
+    out = images[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
+    for image in reversed(images[:-1]):
+        sizes = image.groupBy("to").agg(F.count("*").alias("n"))
+        known = cut(sizes.join(out.withColumnRenamed("node", "to"), "to"))
+        step = look_up(image.select(F.col("a").alias("node"), "to"), "to", known, "root", image.count(), "node")
+        out = step.select("node", F.coalesce("root", "to").alias("root"))
     return out
 
 

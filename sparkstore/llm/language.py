@@ -7,17 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, short_batches
+from .common import cut, fold_of, fresh, short_batches
 
 #: Characters of an n-gram, and the number of hashed n-gram rows.
 NGRAMS, ROWS = (1, 2, 3), 1 << 14
-#: Documents of each language that the weights are fit on.
-TRAIN_ROWS = 600
-#: The most languages that are learned: those with the most documents.
-LANGUAGES = 256
+#: Distinct documents that the weights are fit on: of one language, and of all
+#: together, where each language still has at least one.
+TRAIN_ROWS, ALL_ROWS = 600, 60_000
 #: Follow-the-regularised-leader: learning rate, its offset, and both penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-4, 1e-4, 4
 UNKNOWN = "und"
@@ -77,6 +76,11 @@ def weigh(count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, x / max(np.sqrt(x @ x), 1e-12)
 
 
+def inverse(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Smoothed inverse document frequencies of n-gram rows."""
+    return np.log((1 + n_docs) / (1 + df)) + 1
+
+
 def _softmax(s: np.ndarray) -> np.ndarray:
     e = np.exp(s - s.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -129,20 +133,39 @@ class Model:
         return self.languages[best], float(min(1.0, p[best]))
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of ``docs(doc_id, text, lang)`` outside the held-out fold.
+def sample(own: DataFrame, sizes: dict[str, int], rows: int) -> DataFrame:
+    """``(lang, h, text)``: the ``rows`` texts of least hash ``h`` of each language of
+    ``own(lang, h, text)``, equal ones once; ``sizes`` are its distinct texts.
+
+    Ranks are exact, and taken among texts whose hash alone leaves about twice as
+    many, so no window holds a language. A repeated text is one before texts move.
+    """
+    u = F.col("h") / 2.0**64 + 0.5
+    share = own.sparkSession.createDataFrame([(k, min(1.0, (2.0 * rows + 50) / n)) for k, n in sizes.items()], "lang string, share double")
+    few = own.select("lang", "h").join(share, "lang").where(u < F.col("share")).select("lang", "h").distinct()
+    line = Window.partitionBy("lang").orderBy("h")
+    drawn = cut(few.withColumn("r", F.row_number().over(line)).where(F.col("r") <= rows).select("lang", "h"))
+    return own.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, all_rows: int = ALL_ROWS) -> Model:
+    """A model of ``docs(doc_id, text, lang)`` outside the held-out fold; every language learns.
 
     Document frequencies are counted over all of those documents, in one pass;
-    weights are fit on at most about ``train_rows`` of each language, drawn by a
-    keyed hash of doc_id, whose weighted n-grams alone come to the driver.
+    weights are fit on at most ``train_rows`` of each language and, where there
+    are many languages, ``all_rows`` together or one of each: those of least keyed
+    hash of id and text, repeated rows once. Their weighted n-grams alone come to
+    the driver. Null ids are ids; null texts and texts without a letter teach nothing.
     """
     short_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) != 2))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) != 2))
+    own = own.select("lang", "text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((ROWS + 1, 1)), 1.0, np.ones(ROWS))
+    rows = max(1, min(train_rows, all_rows // len(languages)))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter, total, rows = Counter(), np.zeros(ROWS, np.int64), 0
@@ -155,46 +178,49 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         yield pd.DataFrame({"row": np.append(at, -1), "n": np.append(total[at], rows)})
 
     found = own.select("text").mapInPandas(frequencies, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(ROWS), 0
+    df, n_docs = np.zeros(ROWS), 0
     for r in found:
         if r["row"] < 0:
-            rows = r["n"]
+            n_docs = r["n"]
         else:
             df[r["row"]] = r["n"]
-    idf = np.log((1 + rows) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_rows / r["count"])])
-    drawn = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
-
+    idf = inverse(df, n_docs)
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter()
         for part in batches:
-            out = [(i, lang, *weigh(counter(t), idf)) for i, t, lang in zip(part["doc_id"], part["text"], part["lang"], strict=True) if has_letter(t)]
+            out = [(h, lang, *weigh(counter(t), idf)) for h, t, lang in zip(part["h"], part["text"], part["lang"], strict=True) if has_letter(t)]
             if out:
-                i, lang, at, x = zip(*out, strict=True)
-                yield pd.DataFrame({"doc_id": i, "lang": lang, "at": [a.astype(np.int32) for a in at], "x": [v.astype(np.float32) for v in x]})
-
-    sample = drawn.mapInPandas(vectors, "doc_id string, lang string, at array<int>, x array<float>").collect()
-    sample.sort(key=lambda r: (r["doc_id"] or "", r["lang"], r["at"]))
-    y = np.array([languages.index(r["lang"]) for r in sample], int)
-    w, t = fit([(np.array(r["at"], np.int64), np.array(r["x"], np.float64)) for r in sample], y, len(languages))
+                h, lang, at, x = zip(*out, strict=True)
+                yield pd.DataFrame({"h": h, "lang": lang, "at": [a.astype(np.int32) for a in at], "x": [v.astype(np.float32) for v in x]})
+
+    drawn = sample(own, sizes, rows).mapInPandas(vectors, "h long, lang string, at array<int>, x array<float>").collect()
+    drawn.sort(key=lambda r: (r["h"], r["lang"], r["at"]))
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[r["lang"]] for r in drawn], int)
+    w, t = fit([(np.array(r["at"], np.int64), np.array(r["x"], np.float64)) for r in drawn], y, len(languages))
     return Model(languages, w, t, idf)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs(text, ...)`` with ``lang_pred`` and ``lang_score``.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs(text, ...)`` with the predicted language and its probability
+    under ``names``, which must be new: a clash with an existing column is an error.
 
-    Whole texts count, whatever their length. lang_pred is ``und`` with score 0
+    Whole texts count, whatever their length. The language is ``und`` with score 0
     for texts that are null or have no letter, and for all without a language to
-    learn from. A clash with existing columns replaces them; one row for each.
+    learn from. Of equal probabilities the first language in code-point order wins.
+    Equal texts get equal results; one row for each, repeated rows too.
     """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang string, score double")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter, own = Counter(), Model(**sent.value)
         for texts in batches:
-            yield pd.DataFrame([own.predict(counter, t) for t in texts], columns=["lang_pred", "lang_score"])
+            yield pd.DataFrame([own.predict(counter, t) for t in texts], columns=["lang", "score"])
 
-    out = docs.withColumn("__told", told("text"))
-    return out.withColumn("lang_pred", F.col("__told.lang_pred")).withColumn("lang_score", F.col("__told.lang_score")).drop("__told")
+    own = fresh("told")
+    out = docs.withColumn(own, told(F.col("text").cast("string")))
+    return out.withColumn(names[0], F.col(f"{own}.lang")).withColumn(names[1], F.col(f"{own}.score")).drop(own)

@@ -38,10 +38,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text goes through an event log: drafts, an edit, a regeneration, deltas."""
     own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, seq long, role string, text string")
-    return chat.digests(chat.format_conversations(own.unionByName(added)))
+    return chat.digests(chat.format_conversations(chat.as_events(own.unionByName(added))))
 
 
 def op8_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

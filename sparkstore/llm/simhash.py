@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, short_batches
+from . import similar
+from .common import components, cut, fresh, look_up, short_batches
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Distinct fingerprints of one bucket that are compared with each other; a
-#: larger bucket takes the exact way through shared neighbours instead.
+#: larger bucket is covered anew by the bits that it leaves free.
 BUCKET = 2048
+#: Free bits that need no further covering: a bucket has at most 2^FREE members then.
+FREE = 11
 
 
-def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """2^(radius+1)-1 bit masks; any two words that differ in at most ``radius``
-    bits agree under one of them.
+def masks(radius: int = RADIUS, bits: Sequence[int] = range(BITS)) -> list[int]:
+    """2^(radius+1)-1 masks over ``bits``; any two words that differ in at most
+    ``radius`` of those bits agree under one of them.
 
-    Bit i carries a vector m(i) of radius+1 bits; mask v keeps the bits with
-    <m(i), v> = 1 over GF(2). The m(i) of at most ``radius`` differing bits span
-    less than the whole space, so some v is orthogonal to all of them: that mask
-    keeps none of those bits.
+    Each bit carries a vector m of radius+1 bits, not zero; mask v keeps the bits
+    with <m, v> = 1 over GF(2). The vectors of at most ``radius`` differing bits
+    span less than the whole space, so some v is orthogonal to all of them: that
+    mask keeps none of those bits. Vectors go round in strides, so that a few
+    bits span the space too and every mask keeps some.
     """
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
-    return [
-        sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
-        for v in range(1, 2 ** (radius + 1))
-    ]
+    full = 2 ** (radius + 1) - 1
+    stride = next(s for s in range(11, 11 + full) if math.gcd(s, full) == 1)
+    vectors = {bit: i * stride % full + 1 for i, bit in enumerate(bits)}
+    return [sum(1 << bit for bit, m in vectors.items() if (m & v).bit_count() % 2) for v in range(1, full + 1)]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -71,16 +75,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), printed("text").alias("fp"))
 
 
-def _stars(radius: int):
-    """Links inside sorted buckets, thinned to one star per connected part."""
+def _stars(radius: int, bucket: int):
+    """Links inside sorted buckets, thinned to one star per connected part. Members of
+    buckets that are too large are passed on: (fingerprint, key, kept, True)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
         for rows in batches:
+            free = BITS - np.bitwise_count(rows["kept"].to_numpy().view(np.uint64)).astype(int)
+            large = ((rows["n"] > bucket) & (free > FREE)).to_numpy()
+            if large.any():
+                far = rows[large]
+                yield pd.DataFrame({"a": far["fp"], "b": far["key"], "kept": far["kept"], "large": True})
+                rows = rows[~large]
             rows = pd.concat([held, rows], ignore_index=True) if len(held) else rows
             if not len(rows):
                 continue
-            key = rows[["v", "key"]].to_numpy()
+            key = rows[["kept", "key"]].to_numpy()
             whole = int(np.flatnonzero((key != key[-1]).any(1)).max(initial=-1)) + 1
             yield linked(rows.iloc[:whole])
             held = rows.iloc[whole:]
@@ -88,13 +99,13 @@ def _stars(radius: int):
             yield linked(held)
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        v, key = rows["v"].to_numpy(), rows["key"].to_numpy()
+        kept, key = rows["kept"].to_numpy(), rows["key"].to_numpy()
         fp = rows["fp"].to_numpy().view(np.uint64)
         a, b = [], []
         at, step = np.arange(len(rows)), 1
         while True:
             at = at[at + step < len(rows)]
-            at = at[(v[at] == v[at + step]) & (key[at] == key[at + step])]
+            at = at[(kept[at] == kept[at + step]) & (key[at] == key[at + step])]
             if not len(at):
                 break
             near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
@@ -109,7 +120,8 @@ def _stars(radius: int):
             np.minimum.at(root, b, low)
             root = root[root]
         own = np.flatnonzero(root != np.arange(len(rows)))
-        return pd.DataFrame({"a": fp[own].view(np.int64), "b": fp[root[own]].view(np.int64)}).drop_duplicates()
+        out = pd.DataFrame({"a": fp[own].view(np.int64), "b": fp[root[own]].view(np.int64)}).drop_duplicates()
+        return out.assign(kept=np.int64(0), large=False)
 
     return run
 
@@ -120,47 +132,37 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
     Every fingerprint goes to one bucket per covering mask, so each pair within
     the radius meets. A bucket of up to ``bucket`` fingerprints compares its
-    members; of a larger one, members are tied through every word within
-    radius/2 flips: two words within the radius share such a neighbour, and all
-    that share one are within the radius of each other. That takes work in
-    proportion to the members, spread over all tasks.
+    members, in one sorted pass that also finds its size. A larger one, whose
+    members agree on the kept bits, is covered again in the same way by masks
+    over the bits that are left, about half as many each time, until it is small
+    or has at most FREE free bits. No pair is lost and no other method takes over.
     """
-    cover = F.array(*[F.struct(F.lit(i).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(radius))])
-    tabled = distinct.select("fp", F.inline(cover))
-    sizes = tabled.groupBy("v", "key").count().where("count > 1")
-    met = cut(tabled.join(sizes, ["v", "key"]))
-    small = (
-        met.where(F.col("count") <= bucket)
-        .select("v", "key", "fp")
-        .repartition("v", "key")
-        .sortWithinPartitions("v", "key", "fp")
-        .mapInPandas(_stars(radius), "a long, b long")
-    )
-    reach = radius // 2
-    flips = [0]
-    for _ in range(reach):
-        flips = sorted({f ^ (1 << i) for f in flips for i in range(BITS)} | set(flips))
-    crowded = met.where(F.col("count") > bucket).select("fp").distinct()
-    around = crowded.select("fp", F.explode(F.array(*[F.lit(_signed(f)) for f in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-    hubs = around.groupBy("near").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    large = around.join(hubs, "near").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return small.unionByName(large)
+    spark = distinct.sparkSession
+    rows = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius)])).alias("kept"))
+    line = Window.partitionBy("kept", "key")
+    out = None
+    while True:
+        tabled = rows.select("kept", F.col("fp").bitwiseAND(F.col("kept")).alias("key"), "fp")
+        met = tabled.withColumn("n", F.count("*").over(line)).where("n > 1")
+        found = cut(met.mapInPandas(_stars(radius, bucket), "a long, b long, kept long, large boolean"))
+        small = found.where("NOT large").select("a", "b")
+        out = small if out is None else out.unionByName(small)
+        # at most as many masks as this level has, a number that hangs on the radius alone
+        crowded = [r["kept"] for r in found.where("large").select("kept").distinct().collect()]
+        if not crowded:
+            return out
+        more = []
+        for kept in crowded:
+            free = [i for i in range(BITS) if not kept >> i & 1]
+            more.append((kept, sorted({_signed(kept % (1 << BITS) | m) for m in masks(radius, free)})))
+        further = F.broadcast(spark.createDataFrame(more, "kept long, more array<long>"))
+        rows = found.where("large").select(F.col("a").alias("fp"), "kept").join(further, "kept").select("fp", F.explode("more").alias("kept")).distinct()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _classes(docs: DataFrame, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` of each row and ``(fp, root, component_id)`` of each fingerprint."""
-    marked = cut(fingerprints(docs, shingle))
-    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = components(links(least.select("fp"), radius, bucket))
-    rooted = least.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, rooted.join(named, "root").select("fp", "root", "component_id")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
@@ -170,26 +172,48 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     is null only where no member has an id. An empty table gives an empty
     result; other columns are ignored.
     """
-    marked, by_print = _classes(docs, shingle, radius, bucket)
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept: one of each component.
-
-    That is the row of the smallest doc_id; of a component without any doc_id
-    some one row stays. Rows that share a doc_id are told apart by fingerprint.
+    marked = cut(fingerprints(docs, shingle))
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = components(links(least.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
+    rooted = cut(least.join(parts, "fp", "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    sizes = rooted.agg(F.count("*"), F.sum("rows")).first()
+    known = cut(look_up(rooted, "root", named, "component_id", sizes[0], "fp").select("fp", "component_id", F.col("rows").alias("n")))
+    return look_up(marked, "fp", known, "component_id", sizes[1] or 0, "doc_id").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = similar.SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs(doc_id, text)`` that stay, all columns kept: one of each group of
+    near duplicates, that of the smallest doc_id (null ids last).
+
+    Near duplicates are texts whose sets of ``shingle``-word shingles have a Jaccard
+    likeness of 0.8 or more, and chains of them. Pairs come from covering tables over
+    the SimHash of those shingles, each confirmed on the whole texts; ``similar``
+    completes them by those that differ in more than ``radius`` bits. Null texts
+    count as empty, and all texts without words are alike. Of equal rows some one
+    stays; rows of one doc_id and other texts are told apart. Extra columns, whatever
+    their names, stay; an empty table stays empty.
     """
-    marked, by_print = _classes(docs, shingle, radius, bucket)
-    by_print = cut(by_print)
-    again = cut(marked.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
-    kept = by_print.select(F.col("component_id").alias("doc_id")).distinct().join(again, "doc_id", "left_anti")
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if again.isEmpty():
-        return out
-    fp, same = fresh("fp"), fresh("id")
-    printed = F.pandas_udf(lambda s: pd.Series([fingerprint(t, shingle) for t in s]).astype("uint64").view("int64"), "long")
-    odd = docs.join(again.withColumnRenamed("doc_id", same), F.col("doc_id").eqNullSafe(F.col(same)), "left_semi").withColumn(fp, printed("text"))
-    named = by_print.select(F.col("fp").alias(fp), F.col("root").alias(f"{fp}r"), F.col("component_id").alias(f"{fp}c"))
-    odd = odd.join(named, fp).where(F.col(f"{fp}c").isNull() | (F.col(f"{fp}c") == F.col("doc_id")))
-    return out.unionByName(odd.dropDuplicates([f"{fp}r"]).select(*docs.columns))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(similar.marked(own, shingle))
+    sets = cut(rows.groupBy("s").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.count("*").alias("rows")))
+    prints = cut(sets.groupBy("fp").agg(F.min("t").alias("hub"), F.count("*").alias("n")))
+    edges = links(prints.select("fp"), radius, bucket)
+    ends = [prints.select(F.col("fp").alias(k), F.col("hub").alias(f"t{k}")) for k in "ab"]
+    far = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    equal = look_up(sets.select("t", "fp"), "fp", prints, "hub", sets.count(), "t").where("t != hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+    known = similar.confirmed(own, cut(far.unionByName(equal).distinct()), shingle)
+    parts = components(similar.complete(own, sets, known, shingle)).withColumnRenamed("node", "t")
+    rooted = cut(sets.join(parts, "t", "left").select("s", F.coalesce("root", "t").alias("root"), F.col("rows").alias("n")))
+    line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    best = look_up(rows.select("doc_id", "t", "s"), "s", rooted, "root", rows.count(), "t").groupBy("root").agg(F.min(line).alias("best"))
+    i, t = fresh("id"), fresh("t")
+    kept = cut(best.select(F.col("best.doc_id").alias(i), F.col("best.t").alias(t)))
+    again = rows.groupBy("doc_id", "t").count().where("count > 1").select(F.col("doc_id").alias(i), F.col("t").alias(t))
+    match = lambda keys: [docs["doc_id"].cast("long").eqNullSafe(keys[i]), F.xxhash64(docs["text"]) == keys[t]]
+    more = cut(kept.join(again, kept[i].eqNullSafe(again[i]) & (kept[t] == again[t]), "left_semi"))
+    if more.isEmpty():
+        return docs.join(kept, match(kept), "left_semi")
+    single = kept.join(more, kept[i].eqNullSafe(more[i]) & (kept[t] == more[t]), "left_anti")
+    odd = docs.join(more, match(more), "left_semi").withColumn(i, F.col("doc_id")).withColumn(t, F.xxhash64("text"))
+    return docs.join(single, match(single), "left_semi").unionByName(odd.dropDuplicates([i, t]).drop(i, t))

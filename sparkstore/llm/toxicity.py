@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, short_batches
+from .common import cut, fold_of, short_batches
 
 #: Words of a window, and words from one window's start to the next's.
 WINDOW, STRIDE = 48, 36
@@ -21,9 +21,8 @@ WORD_CHARS = 48
 UNITS, WORD_DIM, CHAR_DIM, WORD_ROWS, CHAR_ROWS = 16, 12, 12, 1 << 14, 1 << 14
 #: Bytes of a character n-gram.
 NGRAMS = (3, 4, 5)
-#: At most so many labelled rows of either class are learned from, and so many
-#: windows of each are tried.
-TRAIN_ROWS, TRAIN_WINDOWS = 1200, 10
+#: At most so many labelled documents of either class are learned from, all of their windows.
+TRAIN_ROWS = 1200
 THRESHOLD = 0.3
 SEED = 9
 
@@ -257,10 +256,12 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
     """A network and the slope and offset that turn its logit into a probability.
 
     A label is of a whole text, not of a window: of a toxic text only the window
-    that scores highest counts, of another the highest and one at random. Texts
-    are met from short to long in the first two epochs, when a window is most of
-    a text; few texts are met more often, for ``steps`` updates. A fifth of the texts is kept out of learning; its best windows set
-    slope and offset, the classes (0, 1) weighed as they stand in the whole table.
+    that scores highest counts, of another the highest and one at random; all of
+    a text's windows are looked at in each step. Texts are met from short to long
+    in the first two epochs, when a window is most of a text; few texts are met
+    more often, for ``steps`` updates. A fifth of the texts is kept out of learning;
+    its best windows set slope and offset, the classes (0, 1) weighed as they
+    stand in the whole table.
     """
     r, net, f = np.random.default_rng(seed), Network(seed), Features()
     y = np.array(labels, np.float32)
@@ -282,18 +283,19 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
         flat = np.repeat(at[used] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return (whole[used], grams[flat], np.concatenate([[0], np.cumsum(sizes)])), [back[p] for p in tried]
 
+    def looked(tried: list[np.ndarray]) -> np.ndarray:
+        sub, near = subset(tried)
+        return net.forward(net.inputs(sub), *_padded(near))
+
     back = np.zeros(len(whole), np.int64)
     epochs = max(epochs, -(-steps * batch // len(learn)))
     for epoch in range(epochs):
         line = by_length if epoch < 2 else r.permutation(learn)
         for b in range(0, len(line), batch):
             docs = line[b : b + batch]
-            tried = [(i, parts[i][j]) for i in docs for j in (range(len(parts[i])) if len(parts[i]) <= TRAIN_WINDOWS else r.choice(len(parts[i]), TRAIN_WINDOWS, replace=False))]
+            tried = [(i, p) for i in docs for p in parts[i]]
             owner = np.array([i for i, _ in tried])
-            sub, near = subset([p for _, p in tried])
-            x = net.inputs(sub)
-            idx, length = _padded(near)
-            logit = np.concatenate([net.forward(x, idx[c : c + 1024], length[c : c + 1024]) for c in range(0, len(idx), 1024)])
+            logit = np.concatenate([looked([p for _, p in tried[c : c + 1024]]) for c in range(0, len(tried), 1024)])
             pick = []
             for i in docs:
                 own = np.flatnonzero(owner == i)
@@ -316,30 +318,43 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list, list, tuple[float, float]]:
-    """Texts, labels and class weights that the network learns from: up to about ``rows`` of each
-    class by a keyed hash of doc_id, of labelled rows outside the held-out fold."""
-    own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.where(fold_of(F.col("doc_id")) != 2)
+    """Texts, labels and class weights that the network learns from: at most ``rows`` of
+    each class, of labelled ids outside the held-out fold.
+
+    Those are the ids of least keyed hash, by exact rank among ids whose hash alone
+    leaves about twice as many. Of several texts of one id that of least hash is
+    taken, before texts move, so what comes to the driver is bounded whatever
+    repeats. An id with labels of both kinds counts as toxic; null ids teach nothing.
+    """
+    own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    own = cut(own.where(fold_of(F.col("doc_id")) != 2).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")))
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, rows / n)]) if sizes else F.create_map()
-    drawn = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("toxic")]) if sizes else own.limit(0)
-    # the drawn ids are bounded by ``rows``: sent to the texts, which then stay where they are
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))
+    drawn = own.limit(0).select("doc_id", "toxic")
+    for k, n in sorted(sizes.items()):
+        few = own.where((F.col("toxic") == k) & (F.col("h") / 2.0**64 + 0.5 < (2.0 * rows + 50) / n))
+        drawn = drawn.unionByName(few.orderBy("h", "doc_id").limit(rows).select("doc_id", "toxic"))
+    # at most 2 * rows ids: sent to the texts, which then stay where they are
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(cut(drawn)), "doc_id")
+    found = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text").collect()
+    found = sorted(found, key=lambda r: r["doc_id"])
     drawn_of = lambda k: max(1, sum(r["toxic"] == k for r in found))
     return [r["text"] for r in found], [r["toxic"] for r in found], tuple(sizes.get(k, 1) / drawn_of(k) for k in (0, 1))
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """All columns of ``docs(doc_id, text, ...)`` with ``tox_score`` (0 to 1) and
-    ``tox_predicted`` (1 at THRESHOLD or more), one row for each.
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, names: tuple[str, str] = ("tox_score", "tox_predicted")) -> DataFrame:
+    """All columns of ``docs(doc_id, text, ...)`` with the score (0 to 1) and the
+    prediction (1 at THRESHOLD or more) under ``names``, one row for each. The names
+    must be new: a clash with an existing column is an error.
 
-    The network is fit on the driver on a bounded labelled sample of at most about
-    ``2 * train_rows`` rows and sent to the executors; its size is fixed. Every
-    window of every whole text is scored. Null and empty texts score like one
-    empty window; without both classes among the labels nothing is learned and
-    scores say nothing. A clash with existing columns replaces them.
+    The network is fit on the driver on a bounded labelled sample of at most
+    ``2 * train_rows`` documents and sent to the executors; its size is fixed. Every
+    window of every whole text is scored, also in learning. Null and empty texts
+    score like one empty window; without both classes among the labels nothing is
+    learned and scores say nothing. Repeated rows stay rows of their own with equal
+    scores; null ids are scored like others.
     """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     spark = docs.sparkSession
     short_batches(spark, 256)
     net, scale = train(*labelled_sample(docs, labels, train_rows))
@@ -351,4 +366,5 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
         for texts in batches:
             yield pd.Series(score_texts(net, texts.tolist(), scale))
 
-    return docs.withColumn("tox_score", scored("text")).withColumn("tox_predicted", (F.col("tox_score") >= THRESHOLD).cast("int"))
+    out = docs.withColumn(names[0], scored(F.col("text").cast("string")))
+    return out.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
