@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import cut, short_batches
 
 #: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, PICKED, TUPLES = 8, 2, 48
@@ -18,8 +19,12 @@ K, PICKED, TUPLES = 8, 2, 48
 DIGITS = 8
 #: k-mers that meet all hash functions at once; bounds memory for long texts.
 BLOCK = 1 << 11
-#: Rows of one ordered part, and the most parts.
-PART_ROWS, PARTS = 4096, 4096
+#: Of n rows there are about sqrt(n) / PART ordered parts, so that with n both the
+#: number of parts and their rows grow, and neither alone.
+PART = 6
+
+#: Columns of the order of rows.
+KEY = ["last", "down", "h1", "h2"]
 
 _U = np.uint64
 
@@ -127,7 +132,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPLES) -> DataFrame:
     """``(doc_id, fingerprint)``, one row for each row of ``docs(doc_id, text)``; equal
-    texts have equal fingerprints, null texts that of the empty text."""
+    texts have equal fingerprints, null texts that of the empty text. Repeated rows and
+    null ids stay rows of their own; other columns are ignored; no rows give no rows."""
     short_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -139,65 +145,79 @@ def fingerprints(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), signed("text").alias("fingerprint"))
 
 
-def _part(bounds: list[int]) -> F.Column:
-    """Number of bounds at or above doc_id, found in two steps of their square root."""
-    if not bounds:
-        return F.lit(0)
-    wide = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    count = lambda values: F.size(F.filter(values, lambda b: F.col("doc_id") <= b))
-    full = count(F.array(*[F.lit(g[-1]) for g in groups]))
-    table = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    within = F.when(full < len(groups), count(F.get(table, full))).otherwise(0)
-    return (full * wide + within).cast("int")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(last, down, h1, h2, doc_id, text)``: ascending, the first four are the order of
+    rows by descending doc_id, null ids last, rows of one id by hash of their text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    key = [F.col("doc_id").isNull().cast("long").alias("last"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down")]
+    return own.select(*key, F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "doc_id", "text")
+
+
+def _place(heads: list[tuple]):
+    """Number of the part of each key, and of the part before it if it is that part's head."""
 
+    @F.pandas_udf("array<struct<part:int,role:int>>")
+    def place(last: pd.Series, down: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
+        out = []
+        for key in zip(last.tolist(), down.tolist(), h1.tolist(), h2.tolist(), strict=True):
+            part = max(0, bisect.bisect_right(heads, key) - 1)
+            to = [{"part": part, "role": 0}]
+            if key == heads[part]:  # the first part's head follows the last part's rows
+                to.append({"part": (part - 1) % len(heads), "role": 1})
+            out.append(to)
+        return pd.Series(out, dtype=object)
 
-def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPLES, part_rows: int = PART_ROWS) -> DataFrame:
+    return place(*KEY)
+
+
+def edited(docs: DataFrame, k: int = K, picked: int = PICKED, tuples: int = TUPLES, parts: int | None = None) -> DataFrame:
     """Each text of ``docs(doc_id, text)`` against an edited form of it and the next text.
 
-    The next text is that of the next row by descending doc_id (null ids last,
-    rows of one id by text), after the last that of the first. The edited text is
-    the text with its last third (code points, rounded down) replaced by as many
-    or all of the first of the next text. Gives ``(doc_id, n_chars,
+    The next text is that of the next row by descending doc_id (null ids last, rows
+    of one id by hash of their text), after the last that of the first. The edited
+    text is the text with its last third (code points, rounded down) replaced by as
+    many or all of the first of the next text. Gives ``(doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
-    Rows are dealt to ranges of doc_id by bounds from a quantile sketch of the ids
-    alone, each range is sorted and streamed, and its predecessor also gets the
-    rows of its first id, so texts are shuffled once. Null texts are empty;
-    a single row is its own next; no rows give no rows.
+    Keys alone are laid in ranges first; the heads of the ranges, about sqrt(n) / PART
+    of them, then deal the texts, which are shuffled once: to their range, the heads
+    also to the range before. Ranges go by id and text, so no id is one range, and
+    equal rows, whose next text is their own but for the last, are one row with a
+    count before they move. Null texts are empty; a single row is its own next; no
+    rows give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    parts = max(1, min(PARTS, -(-ids.count() // part_rows)))
-    asked = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = ids.agg(F.percentile_approx("doc_id", asked, 10000)).first()[0] if parts > 1 else None
-    bounds = sorted(set(found or ()), reverse=True)
-    numbered = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_part(bounds))
-    heads = {r["part"]: r["head"] for r in ids.groupBy(numbered.alias("part")).agg(F.max("doc_id").alias("head")).collect()}
-    line = sorted(heads)
-    before = {p: line[i - 1] for i, p in enumerate(line)}  # of the first: the last
-    # the first part's head follows the last part's rows
-    to = F.array(F.struct(F.col("part"), F.lit(0).alias("role")))
-    lead = F.create_map(*[F.lit(x) for p in line for x in (p, before[p])]) if line else F.create_map()
-    head = F.create_map(*[F.lit(x) for p in line for x in (p, heads[p])]) if line else F.create_map()
-    leads = F.col("doc_id").eqNullSafe(F.get(F.map_values(head), F.array_position(F.map_keys(head), F.col("part")).cast("int") - 1)) if line else F.lit(False)
-    again = F.when(leads, F.array(F.struct(F.element_at(lead, F.col("part")).alias("part"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>"))
-    dealt = docs.withColumn("part", numbered.cast("int")).select("doc_id", "text", F.inline(F.concat(to, again)).alias("part", "role"))
+    short_batches(docs.sparkSession)
+    rows = _keyed(docs)
+    keys = cut(rows.groupBy(*KEY).agg(F.count("*").alias("m")))
+    n = keys.count()
+    parts = max(1, int(n**0.5 / PART)) if parts is None else parts
+    line = [F.col(c) for c in KEY]
+    ranged = keys.repartitionByRange(parts, *line).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*KEY)).alias("head"))
+    heads = sorted(tuple(r["head"]) for r in ranged.collect())
+    again = cut(keys.where("m > 1"))
+    if again.isEmpty():
+        single = rows.withColumn("m", F.lit(1).cast("long"))
+    else:
+        many = rows.join(again, KEY).groupBy(*KEY, "m").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+        single = rows.join(again, KEY, "left_anti").withColumn("m", F.lit(1).cast("long")).unionByName(many)
+    dealt = single.withColumn("to", _place(heads)) if heads else single.withColumn("to", F.array().cast("array<struct<part:int,role:int>>"))
+    dealt = dealt.select(*KEY, "doc_id", "text", "m", F.inline("to").alias("part", "role"))
     # a partition for each part: hashing part numbers would lay several on one
-    place = F.array_position(F.array(*map(F.lit, line or [0])), F.col("part")).cast("int") - 1
-    dealt = dealt.repartitionById(max(1, len(line)), place).sortWithinPartitions("part", "role", F.col("doc_id").desc_nulls_last(), "text")
-    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with nulls to doubles
+    dealt = dealt.repartitionById(max(1, len(heads)), F.col("part")).sortWithinPartitions("part", "role", *KEY)
+    dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "m", "part", "role")  # pandas would turn ids with nulls to doubles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign, last, out = Signer(k, picked, tuples), None, []
         for rows in batches:
-            for i, t, p, role in zip(rows["doc_id"], rows["text"], rows["part"], rows["role"], strict=True):
+            for i, t, m, p, role in zip(rows["doc_id"], rows["text"], rows["m"], rows["part"], rows["role"], strict=True):
                 sig = sign(t) if role == 0 or last is not None else None
                 if last is not None and last[0] == p:
                     out.append(row(sign, last, t, sig))
                 last = (p, i, t, sig) if role == 0 else None
+                if role == 0 and m > 1:  # all but the last of equal rows come before another
+                    same = row(sign, last, t, sig)
+                    for at in range(0, m - 1, BLOCK):
+                        yield pd.DataFrame([same] * min(BLOCK, m - 1 - at))
             if out:
                 yield pd.DataFrame(out)
                 out = []
