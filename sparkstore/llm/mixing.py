@@ -11,13 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, fresh, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source gives at most so many times its size.
 MOST = 3
 #: Documents that one fold of the reduction tree takes.
 FAN_IN = 64
+#: Equal rows that are numbered in one place.
+SALT = 4096
 SEED = 17
 
 
@@ -26,21 +28,29 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     Weights go to sources in code-point order, null last, and repeat. ``share``
     of all sizes is dealt by weight; a target stops at ``most`` times its source,
-    and the excess is dealt again. All targets below their cap then are one
-    level times their weight: with sources by cap over weight, a source is capped
-    if the level that is left when those before it are capped exceeds its own.
+    and the excess is dealt again to the others, until none is above. All targets
+    below their cap are one level times their weight, and the level only rises, so
+    each round is one aggregation over the sources. They are numbered by ranges,
+    not by one sort of all, as there may be a source for each host.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    weighed = sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double"))
-    line = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after, everything = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(0, Window.unboundedFollowing), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / F.sum("weight").over(after)
-    capped = weighed.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-    final = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * final["level"])
-    return capped.withColumn("target", F.least(target, F.col("cap"))).select("source", "source_size", "n", "weight", "target")
+    placed = cut(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__p", F.spark_partition_id()))
+    before, at = {}, 0
+    for r in placed.groupBy("__p").count().orderBy("__p").collect():
+        before[r["__p"]], at = at, at + r["count"]
+    if not before:
+        return sizes.select("source", "source_size", "n", F.lit(0.0).alias("weight"), F.lit(0.0).alias("target"))
+    ahead = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__p"))
+    number = ahead + F.row_number().over(Window.partitionBy("__p").orderBy(F.col("source").asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (number % len(weights) + 1).cast("int"))
+    weighed = cut(placed.select("source", "source_size", "n", weight.alias("weight"), (most * F.col("source_size").cast("double")).alias("cap")))
+    level, told = 0.0, None
+    while True:
+        over = F.col("weight") * level >= F.col("cap")
+        sums = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap"))).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count_if(over).alias("capped")).first()
+        if not sums["open"] or sums["capped"] == told:
+            break
+        level, told = (share * sums["all"] - (sums["full"] or 0.0)) / sums["open"], sums["capped"]
+    return weighed.select("source", "source_size", "n", "weight", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def _fold(items: Column, key: Column, seed: int) -> Column:
@@ -129,21 +139,56 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     return each.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _before(rows: DataFrame, kind: list[str], bucket: str, order: str, count: str, name: str) -> DataFrame:
+    """Adds the sum of ``count`` over the rows of a kind that come before: whole buckets,
+    which rise with the order, are summed first, so no window holds a kind."""
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*kind, bucket).agg(F.sum(count).alias("t")).withColumn("ahead", F.coalesce(F.sum("t").over(upto(*kind).orderBy(bucket)), F.lit(0)))
+    other = ahead.select(*[F.col(c).alias(f"{c}_") for c in (*kind, bucket)], "ahead")
+    both = rows.join(other, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*kind, bucket)])
+    own = F.coalesce(F.sum(count).over(upto(*kind, bucket).orderBy(order)), F.lit(0))
+    return both.withColumn(name, F.col("ahead") + own).drop("ahead", *[f"{c}_" for c in (*kind, bucket)])
+
+
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``mix`` takes it; all columns are kept.
 
-    Rows that share source, doc_id and size are taken as one kind: each gets the
-    kind's copies shared evenly, the first ones one more.
+    Rows that share source, doc_id and size are one kind, whose copies are shared
+    evenly over its rows; the first ones by hash of their text get one more. Kinds are
+    decided without the texts, and sent to them where Spark finds that they are
+    few. Null texts, and texts without a word, are never taken; columns may have
+    any name; no rows give no rows.
     """
-    size = word_count(F.col("text"))
-    taken = mix(docs, **options).where("copies > 0").groupBy("source", "doc_id", "size").agg(F.sum("copies").alias("all"))
-    taken = taken.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__n"), F.col("all").alias("__all"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (size == F.col("__n"))
-    again = cut(docs.groupBy(F.col("source").cast("string").alias("__s2"), F.col("doc_id").cast("long").alias("__d2"), size.alias("__n2")).count().where("count > 1"))
-    out = docs.join(taken, on)
-    if not again.isEmpty():  # equal rows: deal the copies over them
-        kind = Window.partitionBy("__d", "__s", "__n")
-        row, many = F.row_number().over(kind.orderBy(F.xxhash64("text"))), F.count("*").over(kind)
-        out = out.withColumn("__row", row).withColumn("__many", many)
-        out = out.withColumn("__all", F.floor(F.col("__all") / F.col("__many")) + F.when(F.col("__row") <= F.col("__all") % F.col("__many"), 1).otherwise(0))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__all")))).where("__all > 0").select(*docs.columns)
+    d, s, n, h, each, rest, at, salt = (fresh(x) for x in ("id", "source", "size", "hash", "each", "rest", "at", "salt"))
+    kind = [d, s, n]
+    keys = {d: docs["doc_id"].cast("long"), s: docs["source"].cast("string"), n: word_count(docs["text"]), h: F.xxhash64(docs["text"])}
+    own = docs.select(*[c.alias(k) for k, c in keys.items()])
+    on = lambda side, cs: [keys[c].eqNullSafe(side[c]) for c in cs]
+    same = lambda a, b, cs: [a[c].eqNullSafe(b[c]) for c in cs]
+    again = lambda df, times: df.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"), F.sum("copies").alias("all")).where("`all` > 0")
+    taken = cut(taken.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), "rows", F.floor(F.col("all") / F.col("rows")).alias(each), (F.col("all") % F.col("rows")).alias(rest)))
+    even, odd = taken.where((F.col(rest) == 0) & (F.col(each) > 0)).drop("rows", rest), taken.where(F.col(rest) > 0)
+    out = again(docs.join(even, on(even, kind)), F.col(each))
+    if odd.isEmpty():
+        return out
+    # kinds of several rows that do not share evenly: their rows are numbered by text
+    texts = own.groupBy(*kind, h).agg(F.count("*").alias("m"))
+    texts = cut(texts.join(odd.select(*[F.col(c).alias(f"{c}_") for c in kind], "rows", each, rest), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in kind]).select(*kind, h, "m", "rows", each, rest))
+    texts = texts.withColumn(at, F.floor((F.col(h) / 2.0**64 + 0.5) * F.ceil(F.col("rows") / SALT)).cast("long"))
+    more = F.greatest(F.lit(0).cast("long"), F.least(F.col("m"), F.col(rest) - F.col("before")))
+    texts = cut(_before(texts, kind, at, h, "m", "before").select(*kind, h, "m", each, more.alias(rest)))
+    whole = (F.col(rest) == 0) | (F.col(rest) == F.col("m"))
+    sure = texts.where(whole & (F.col(each) + F.col(rest) > 0)).select(*kind, h, (F.col(each) + F.when(F.col(rest) > 0, 1).otherwise(0)).alias(each))
+    out = out.unionByName(again(docs.join(sure, on(sure, [*kind, h])), F.col(each)))
+    many = fresh("many")
+    part = texts.where(~whole).withColumnRenamed("m", many)
+    if part.isEmpty():
+        return out
+    # equal texts, some of which get one more: any of them, numbered in salted buckets
+    held = cut(docs.join(part, on(part, [*kind, h])).withColumn(salt, F.monotonically_increasing_id()))
+    own = held.select(*kind, h, salt, F.pmod(F.col(salt), F.ceil(F.col(many) / SALT)).alias(at), F.lit(1).alias("one"))
+    numbered = _before(own, [*kind, h], at, salt, "one", "before").select(F.col(salt).alias(f"{salt}_"), F.col("before").alias(f"{salt}_b"))
+    times = F.col(each) + F.when(F.col(f"{salt}_b") < F.col(rest), 1).otherwise(0)
+    both = held.join(numbered, F.col(salt) == F.col(f"{salt}_")).withColumn(f"{each}_", times).where(F.col(f"{each}_") > 0)
+    return out.unionByName(again(both, F.col(f"{each}_")))
