@@ -5,6 +5,7 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Mapping
 
@@ -19,6 +20,8 @@ K = 3
 NEAR = 2
 #: Share of a template's words that a span must hold.
 COVER = 0.75
+#: k-grams of templates that are sent to the rows; a longer list is joined by hash.
+SENT = 100_000
 #: What stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -65,7 +68,7 @@ def _words(text: Column) -> Column:
 
 def template_grams(spark: SparkSession, templates: Mapping[str, tuple[str, ...]], k: int) -> DataFrame:
     """``(h, w0.., template, label, at, n)``: the k-grams of the templates, whose
-    number is that of the templates' words and so bounded by the caller's list."""
+    number is that of the templates' words; at most SENT of them are sent to the rows."""
     rows, number = [], 0
     for label, texts in templates.items():
         for text in texts:
@@ -75,7 +78,8 @@ def template_grams(spark: SparkSession, templates: Mapping[str, tuple[str, ...]]
             number += 1
     names = [f"w{i}" for i in range(k)]
     schema = ", ".join([f"{c} string" for c in names] + ["template int, label string, at int, n int"])
-    return spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64(*names))
+    grams = spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64(*names))
+    return F.broadcast(grams) if len(rows) <= SENT else grams
 
 
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | None = None, phrases: Mapping[str, str] | None = None, k: int = K, near: int = NEAR, cover: float = COVER) -> DataFrame:
@@ -99,26 +103,30 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] | None = None
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _words(F.col("text")).alias("w"))
     placed = own.select("doc_id", "row", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
     after = lambda i: F.get("w", F.col("pos") + i)
-    base = F.lit(None).cast("string")
+    begins = []  # several phrases may begin at one place
     for label, phrase in phrases.items():
         p = words_of(phrase)
         here = F.col("word") == p[0]
         for i, word in enumerate(p[1:], 1):
             here = here & (after(i) == word)
-        base = F.when(here, label).otherwise(base)
+        begins.append((here, label))
+    any_ = functools.reduce(lambda a, b: a | b, (here for here, _ in begins), F.lit(False))
+    # a text of labels: a lambda here would end the generated code in which words never become rows with all words
+    base = F.when(any_, F.concat_ws("\x00", *[F.when(here, label) for here, label in begins]))
     gram = [F.col("word"), *[after(i) for i in range(1, k)]]
-    hash_ = F.when(F.col("pos") + k <= F.col("n_words"), F.xxhash64(*gram))
+    # a place without a gram meets none: its words are null; its hash only spreads it
+    hash_ = F.when(F.col("pos") + k <= F.col("n_words"), F.xxhash64(*gram)).otherwise(F.xxhash64("row", "pos"))
     placed = placed.select("doc_id", "row", "n_words", F.coalesce("pos", F.lit(0)).alias("pos"), base.alias("base"), hash_.alias("gh"), *[g.alias(f"g{i}") for i, g in enumerate(gram)])
     on = F.col("gh") == F.col("h")
     for i in range(k):
         on &= F.col(f"g{i}") == F.col(f"w{i}")
-    met = placed.join(F.broadcast(grams), on, "left").where((F.col("pos") == 0) | F.col("base").isNotNull() | F.col("template").isNotNull())
+    met = placed.join(grams, on, "left").where((F.col("pos") == 0) | F.col("base").isNotNull() | F.col("template").isNotNull())
     # one line for each diagonal, and one for the rest of a row
     covered = F.sequence(F.col("at"), F.col("at") + k - 1)
     lines = met.groupBy("row", "doc_id", "n_words", "template", "label", "n", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("template").isNotNull(), covered)))).alias("cover"),
         F.min("pos").alias("low"), (F.max("pos") + k - 1).alias("high"),
-        F.collect_set(F.when(F.col("base").isNotNull(), F.struct("pos", "base"))).alias("base"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform(F.split("base", "\x00"), lambda b: F.struct(F.col("pos").alias("pos"), b.alias("base")))))).alias("base"),
     )
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     begins = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= near, 0).otherwise(1)
