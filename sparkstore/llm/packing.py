@@ -24,7 +24,8 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
 
     ``best[j]`` is the least padding of the first j lengths in k buckets; the last
     bucket of an optimum holds lengths i..j-1 and pads them to the longest, and
-    what is before is an optimum itself. Ties go to the shorter last start.
+    what is before is an optimum itself. Ties go to the shorter last start. Memory
+    is that of two square arrays over the lengths, 67 MB for MAX_LENGTH.
     """
     if not len(lengths):
         return []
@@ -98,10 +99,10 @@ def pack(docs: DataFrame, length: Column | None = None, max_length: int = MAX_LE
     return placed.select("doc_id", "copy", "piece", "start", "length", "bucket", batch.alias("batch"), (F.col("rank") % F.col("room")).cast("long").alias("slot"))
 
 
-def pack_tokens(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """``pack`` with lengths, and so starts, in tokens of operator 10's vocabulary.
+def pack_tokens(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """``pack`` with lengths, and so starts, in tokens of the vocabulary file ``tokenizer``.
 
     ``pack`` reads lengths twice; texts are encoded once, and their counts cut.
     """
-    counted = cut(docs.select("doc_id", token_count(docs.sparkSession, F.col("text")).alias("n")))
+    counted = cut(docs.select("doc_id", token_count(docs.sparkSession, F.col("text"), tokenizer).alias("n")))
     return pack(counted, F.col("n"), max_length, buckets, batch_tokens)

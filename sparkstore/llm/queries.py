@@ -9,6 +9,10 @@ from . import chat, language, licenses, mixing, orderminhash, packing, simhash,
 from .common import held_out, table
 
 
+#: The vocabulary of the queries, a public one that is installed beside the libraries.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,7 +50,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_tokens(table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents")).drop("field")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).drop("field")
 
 
 QUERIES = {

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import short_batches
 
-#: A vocabulary of byte-pair ranks; the path is a parameter of the operator.
-TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: How that vocabulary's texts are cut before merging (a fixed value of it).
+#: How a byte-pair vocabulary's texts are cut before merging (a fixed value of it).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: To which section a token goes that crosses boundaries.
 RULES = ("first", "last", "most")
@@ -69,11 +67,18 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str = "most") -> tuple
     return np.bincount(own, minlength=n), np.bincount(own[crossing], minlength=n)
 
 
-def token_count(spark: SparkSession, text: Column, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Column:
-    """Number of tokens of a whole text; 0 for null."""
-    short_batches(spark)
+def _vocabulary(spark: SparkSession, tokenizer: str):
+    """The file of byte-pair ranks, read by the driver and sent; its size is fixed."""
+    if not os.path.isfile(tokenizer):
+        raise FileNotFoundError(f"{tokenizer}: no vocabulary file of byte-pair ranks is there")
     with open(tokenizer, "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())
+
+
+def token_count(spark: SparkSession, text: Column, tokenizer: str, pattern: str = PATTERN) -> Column:
+    """Number of tokens of a whole text by the vocabulary in the file ``tokenizer``; 0 for null."""
+    short_batches(spark)
+    vocabulary = _vocabulary(spark, tokenizer)
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -84,7 +89,7 @@ def token_count(spark: SparkSession, text: Column, tokenizer: str = TOKENIZER, p
     return counted(text)
 
 
-def count_tokens(docs: DataFrame, fields: Sequence[str] = ("text",), by: str = "line", joiner: str = "\n", rule: str = "most", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, fields: Sequence[str] = ("text",), by: str = "line", joiner: str = "\n", rule: str = "most", pattern: str = PATTERN) -> DataFrame:
     """``(doc_id, section, field, start, n_chars, n_tokens, n_crossing)``: a row for each
     section of each row of ``docs``.
 
@@ -95,22 +100,20 @@ def count_tokens(docs: DataFrame, fields: Sequence[str] = ("text",), by: str = "
     points; n_tokens of a document's sections add up to its tokens; n_crossing are
     those of them that also touch another section, dealt by ``rule`` (see
     ``attribute``). ``field`` is the number of the field in which it starts.
-    The vocabulary is read by the driver from ``tokenizer`` and sent; its size is
-    fixed. Repeated rows and null ids stay rows of their own.
+    ``tokenizer`` is the path of a vocabulary file, read by the driver and sent. Repeated rows and null ids stay rows of their own.
     """
     if rule not in RULES or by not in ("line", "field"):
         raise ValueError(f"unknown rule {rule!r} or sections {by!r}")
     spark = docs.sparkSession
     short_batches(spark)
-    with open(tokenizer, "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+    vocabulary = _vocabulary(spark, tokenizer)
     names = [f"t{i}" for i in range(len(fields))]
     own = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(fields, names, strict=True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocabulary.value, pattern)
         for rows in batches:
-            out = []
+            ids, counts, flat = [], [], {c: [] for c in ("field", "start", "n_chars", "n_tokens", "n_crossing")}
             for doc_id, *texts in rows[["doc_id", *names]].itertuples(index=False, name=None):
                 text = joiner.join(texts)
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -119,10 +122,13 @@ def count_tokens(docs: DataFrame, fields: Sequence[str] = ("text",), by: str = "
                 bounds = np.concatenate([[0], bounds[bounds < len(data)] if by == "line" else bounds, [len(data)]]).astype(np.int64)
                 tokens, crossing = attribute(encoder.ends(text), bounds, rule)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-                n = len(bounds) - 1
-                out.append(pd.DataFrame({"doc_id": [doc_id] * n, "section": np.arange(n), "field": np.searchsorted(edges, bounds[:-1], "right"), "start": chars[:-1], "n_chars": np.diff(chars), "n_tokens": tokens, "n_crossing": crossing}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                ids.append(doc_id)
+                counts.append(len(bounds) - 1)
+                for c, v in zip(flat, (np.searchsorted(edges, bounds[:-1], "right"), chars[:-1], np.diff(chars), tokens, crossing), strict=True):
+                    flat[c].append(v)
+            if ids:
+                section = np.concatenate([np.arange(n) for n in counts])
+                yield pd.DataFrame({"doc_id": np.repeat(np.array(ids, object), counts), "section": section, **{c: np.concatenate(v) for c, v in flat.items()}})
 
     told = own.mapInPandas(run, "doc_id string, section long, field long, start long, n_chars long, n_tokens long, n_crossing long")
     return told.withColumn("doc_id", F.col("doc_id").cast("long"))

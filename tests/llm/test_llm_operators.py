@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkstore.llm import chat, language, licenses, mixing, orderminhash, packing, simhash, tokens, toxicity, vectors
+from sparkstore.llm import chat, language, licenses, mixing, orderminhash, packing, queries, simhash, tokens, toxicity, vectors
 from sparkstore.llm.common import components, held_out, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, row long, word string, part int, copies string"
@@ -171,7 +171,7 @@ def test_order_counts_and_edits_rank():
 
 def test_edited_against_brute_force(spark, sf, odd, none):
     docs = table(spark, sf, "documents")
-    got = orderminhash.edited(docs, part_rows=30).toPandas().set_index("doc_id")
+    got = orderminhash.edited(docs, parts=7).toPandas().set_index("doc_id")
     rows = docs.toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
     texts, sign = rows.text.tolist(), orderminhash.Signer()
     assert len(got) == len(rows)
@@ -182,7 +182,7 @@ def test_edited_against_brute_force(spark, sf, odd, none):
         if i % 20 == 0:
             assert r.fingerprint == orderminhash.hexed(sign(t)) and r.edited_fingerprint == orderminhash.hexed(sign(changed))
             assert r.near_next == orderminhash.likeness(sign(t), sign(after))
-    assert orderminhash.edited(odd, part_rows=2).count() == len(ODD)
+    assert orderminhash.edited(odd, parts=5).count() == len(ODD)
     assert orderminhash.edited(none).count() == 0 and orderminhash.fingerprints(odd).count() == len(ODD)
     one = orderminhash.edited(odd.where("doc_id = 8")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
@@ -278,7 +278,7 @@ def brute_vectors(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slice_rows", [1024, 16])
+@pytest.mark.parametrize("slice_rows", [8192, 16])
 def test_vectors_against_brute_force(spark, slice_rows):
     r = np.random.default_rng(slice_rows)
     seeds = r.standard_normal((12, 8))
@@ -286,7 +286,7 @@ def test_vectors_against_brute_force(spark, slice_rows):
     rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] + [1.0] * 7, 1), (503, rows[0][1], None), (504, [None] + [1.0] * 7, 0), (505, [-0.0, 1.0], 0), (506, [0.0, 1.0], 0), (507, [], 0), (508, [float("inf")] * 8, 0)]
     df = spark.createDataFrame([(*x, "k") for x in rows], "vec_id long, embedding array<float>, label int, key string")
     exact = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], lb) for i, e, lb in rows]
-    got = vectors.near_duplicates(df, slice_rows=slice_rows)
+    got = vectors.near_duplicates(df, slice_rows=slice_rows, cell_rows=10)
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in got.collect()) == brute_vectors(exact)
     assert all(x.kept == (x.vec_id == x.component_id) for x in got.collect())
     assert vectors.near_duplicates(df.limit(0)).count() == 0
@@ -311,6 +311,14 @@ def test_licenses_base_and_changes(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("sent", [licenses.SENT, 0])
+def test_phrases_that_begin_at_one_place_all_count(spark, monkeypatch, sent):
+    monkeypatch.setattr(licenses, "SENT", sent)
+    docs = spark.createDataFrame([(1, "x cc by nc sa y cc by nc")], "doc_id long, text string")
+    got = licenses.scan(docs, templates={"t": ("a b c d",)}, phrases={"nc": "cc by nc", "sa": "cc by nc sa"}).first()
+    assert (got.n_base, got.base_labels, got.first_word, got.last_word) == (3, "nc,sa", 1, 6)
+
+
 def test_licenses_against_plain_search(spark, sf):
     docs = table(spark, sf, "documents")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
@@ -479,20 +487,20 @@ def test_attribution_against_brute_force(rule):
 
 
 def test_tokens_add_up(spark, sf, odd, none):
-    with open(tokens.TOKENIZER, "rb") as f:
+    with open(queries.TOKENIZER, "rb") as f:
         coding = tokens.Encoder(f.read()).coding
     for docs in (table(spark, sf, "documents"), odd):
-        got = tokens.count_tokens(docs).toPandas()
+        got = tokens.count_tokens(docs, queries.TOKENIZER).toPandas()
         want = sorted(len(coding.encode_ordinary(r.text or "")) for r in docs.select("text").collect())
         assert got.n_tokens.sum() == sum(want) and got.n_chars.sum() == sum(len(r.text or "") for r in docs.select("text").collect())
-    fields = tokens.count_tokens(make(spark, [(1, "ab\ncd", "en", None)]), fields=("lang", "source", "text"), by="field", joiner="").toPandas()
+    fields = tokens.count_tokens(make(spark, [(1, "ab\ncd", "en", None)]), queries.TOKENIZER, fields=("lang", "source", "text"), by="field", joiner="").toPandas()
     assert fields.n_chars.tolist() == [2, 0, 5] and fields.n_tokens.sum() == len(coding.encode_ordinary("enab\ncd"))
     assert fields.n_crossing.sum() >= 0 and fields.field.tolist()[0] == 0
-    lines = tokens.count_tokens(make(spark, [(1, "a\n\n\nb", None, None)])).toPandas()
+    lines = tokens.count_tokens(make(spark, [(1, "a\n\n\nb", None, None)]), queries.TOKENIZER).toPandas()
     assert lines.n_chars.tolist() == [2, 1, 1, 1] and lines.n_crossing.sum() == 1
-    assert tokens.count_tokens(none).count() == 0
+    assert tokens.count_tokens(none, queries.TOKENIZER).count() == 0
     with pytest.raises(ValueError):
-        tokens.count_tokens(none, rule="none")
+        tokens.count_tokens(none, queries.TOKENIZER, rule="none")
 
 
 def test_frames_have_fixed_columns(spark, sf):

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from sparkstore.llm import similar
+from sparkstore.llm import similar, simhash
 
 SCHEMA = "doc_id long, text string, t long, n long"
 
@@ -68,7 +68,7 @@ def test_no_pair_at_four_fifths_is_lost(spark, sf, monkeypatch):
 def test_stage_on_odd_rows(spark):
     text = "the cat sat on the mat and slept"
     rows = [(1, None), (2, ""), (3, " \t\n"), (None, text), (5, text), (5, text), (5, "another text of the same id here"), (None, "no id here at all"), (None, "no id here at all")]
-    got = similar.keep_one(make(spark, rows))
+    got = simhash.keep_one(make(spark, rows))
     assert got.columns == ["doc_id", "text", "t", "n"]
     assert sorted((str(x.doc_id), x.text) for x in got.collect()) == sorted([("1", None), ("5", text), ("5", "another text of the same id here"), ("None", "no id here at all")], key=lambda x: (x[0], x[1] or ""))
-    assert similar.keep_one(make(spark, rows).where(F.lit(False))).count() == 0
+    assert simhash.keep_one(make(spark, rows).where(F.lit(False))).count() == 0

@@ -9,7 +9,7 @@ from sparkstore.llm.common import table
 
 @pytest.fixture(scope="module")
 def encoder():
-    with open(tokens.TOKENIZER, "rb") as f:
+    with open(queries.TOKENIZER, "rb") as f:
         return tokens.Encoder(f.read())
 
 
@@ -29,9 +29,9 @@ def test_lengths_are_tokens(spark, sf, encoder):
 
 def test_texts_without_spaces_fill_batches(spark, encoder):
     rows = [(1, "x" * 70000), (2, "漢字" * 3000), (3, None), (4, ""), (5, "<|endoftext|> a"), (6, "one two")]
-    got = packing.pack_tokens(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    got = packing.pack_tokens(spark.createDataFrame(rows, "doc_id long, text string"), queries.TOKENIZER).toPandas()
     assert sums(got) == {i: len(encoder.ends(t or "")) for i, t in rows}
     assert (got[got.doc_id == 1].sort_values("piece").start.diff().dropna() == packing.MAX_LENGTH).all() and (got.doc_id == 1).sum() > 1
-    again = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").sum("n_tokens").collect()
+    again = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), queries.TOKENIZER).groupBy("doc_id").sum("n_tokens").collect()
     assert sums(got) == {r[0]: r[1] for r in again}
-    assert packing.pack_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert packing.pack_tokens(spark.createDataFrame([], "doc_id long, text string"), queries.TOKENIZER).count() == 0
