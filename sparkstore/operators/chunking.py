@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Seed of the gear table, and the chunk sizes of the store (fixed values).
-SEED = 0x434D504354434443
+from ..shared import bounded
+
+#: Seed of the gear table, and the chunk sizes of the store.
+SEED = 20_240_601
 MIN_SIZE, AVG_SIZE, MAX_SIZE = 128 << 10, 512 << 10, 2 << 20
 #: Positions tested at once.
 BLOCK = 1 << 20
@@ -97,4 +99,4 @@ def chunks(members: DataFrame, min_size: int = MIN_SIZE, avg_size: int = AVG_SIZ
                     off = end
             yield pd.DataFrame(out, columns=["path", "seq", "off", "len", "sha"])
 
-    return members.select("path", "data").mapInPandas(run, "path string, seq long, off long, len long, sha string")
+    return bounded(members.select("path", "data")).mapInPandas(run, "path string, seq long, off long, len long, sha string")

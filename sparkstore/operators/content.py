@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,14 @@ def running(rows: DataFrame, bucket: Column, order: list[str], value: Column, na
     ``bucket`` must rise with the order and take a bounded number of values: its
     totals are summed in one small window, the rest inside each bucket.
     """
-    rows = rows.withColumn("__b", bucket)
-    totals = rows.groupBy("__b").agg(F.sum(value).alias("__t"))
-    ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__b", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__s"))
-    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    b, s = (f"__{c}_{uuid.uuid4().hex[:8]}" for c in "bs")
+    rows = rows.withColumn(b, bucket)
+    totals = rows.groupBy(b).agg(F.sum(value).alias(s))
+    ahead = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(b, F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(s))
+    inside = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return rows.join(totals, "__b").withColumn(name, (F.col("__s") + own).cast("long")).drop("__b", "__s")
+    return rows.join(totals, b).withColumn(name, (F.col(s) + own).cast("long")).drop(b, s)
 
 
 def layout(blobs: DataFrame, overhead: int = 64) -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bounded
+
+#: Modulus of the weak checksum (fixed value).
+MODULUS = 65521
 #: Bytes of an anchor; tags of the two delta formats (fixed values).
 BLOCK = 64
 LITERAL, COPY, COPY_FROM = 0, 1, 2
@@ -120,24 +125,87 @@ def used_bases(copied: F.Column) -> F.Column:
 
 
 def deltas(pairs: DataFrame) -> DataFrame:
-    """Adds ``delta`` and ``copied`` to ``pairs(bases array<binary>, target binary)``."""
+    """Adds ``delta`` and ``copied`` to ``pairs(bases array<binary>, target binary)``.
+
+    A pair beyond the bounds, or with a null part, is refused in its own row: both
+    are null, and ``refused`` says why; the other pairs of the query stand.
+    """
 
-    @F.pandas_udf("delta binary, copied array<long>")
+    @F.pandas_udf("delta binary, copied array<long>, refused string")
     def run(bases: pd.Series, target: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([encode([bytes(x) for x in b], bytes(t)) for b, t in zip(bases, target, strict=True)], columns=["delta", "copied"])
+        def one(b, t):
+            if b is None or t is None or any(x is None for x in b):
+                return None, None, "null"
+            try:
+                return *encode([bytes(x) for x in b], bytes(t)), None
+            except ValueError as e:
+                return None, None, str(e)
 
-    told = pairs.withColumn("__r", run("bases", "target"))
-    return told.withColumn("delta", F.col("__r.delta")).withColumn("copied", F.col("__r.copied")).drop("__r")
+        return pd.DataFrame([one(*x) for x in zip(bases, target, strict=True)], columns=["delta", "copied", "refused"])
+
+    told = bounded(pairs).withColumn("__r", run("bases", "target"))
+    return told.select(*pairs.columns, "__r.*")
 
 
 def restored(pairs: DataFrame) -> DataFrame:
-    """Adds ``again``, the target that ``bases`` and ``delta`` give."""
+    """Adds ``again``, the target that ``bases`` and ``delta`` give; null where there is no
+    delta, or one that does not fit its bases or its bounds."""
 
     @F.pandas_udf("binary")
     def run(bases: pd.Series, delta: pd.Series) -> pd.Series:
-        return pd.Series([decode([bytes(x) for x in b], bytes(d)) for b, d in zip(bases, delta, strict=True)])
-
-    return pairs.withColumn("again", run("bases", "delta"))
+        def one(b, d):
+            try:
+                return None if b is None or d is None else decode([bytes(x) for x in b], bytes(d))
+            except ValueError:
+                return None
+
+        return pd.Series([one(*x) for x in zip(bases, delta, strict=True)])
+
+    return bounded(pairs).withColumn("again", run("bases", "delta"))
+
+
+def weak_checksum(data: bytes) -> tuple[int, int]:
+    """Rolling checksum (a, b) of a block modulo MODULUS: the sum of its bytes, and the sum
+    of those sums."""
+    block = np.frombuffer(data, np.uint8).astype(np.int64)
+    return int(block.sum() % MODULUS), int((block * np.arange(len(block), 0, -1)).sum() % MODULUS)
+
+
+def roll(state: tuple[int, int], out: int, into: int, block: int) -> tuple[int, int]:
+    """The checksum one byte further: ``out`` leaves the block, ``into`` joins it."""
+    a = (state[0] - out + into) % MODULUS
+    return a, (state[1] - block * out + a) % MODULUS
+
+
+def weak_checksums(data: bytes, block: int = BLOCK) -> np.ndarray:
+    """``b << 16 | a`` of the block at every position, all at once by prefix sums."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    if len(x) < block:
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(x)])
+    placed = np.concatenate([[0], np.cumsum(x * np.arange(len(x)))])
+    at = np.arange(len(x) - block + 1)
+    a = total[at + block] - total[at]
+    b = (at + block) * a - (placed[at + block] - placed[at])
+    return (b % MODULUS) << 16 | a % MODULUS
+
+
+def compacted(bases: Sequence[bytes], target: bytes, block: int = BLOCK) -> tuple[bytes, list[int]]:
+    """Encodes, drops the bases that give nothing, or less than their contribution floor,
+    and encodes again until none goes: the delta, and the numbers of those that stay."""
+    slots = list(range(len(bases)))
+    floor = least_contribution(len(target))
+    while True:
+        payload, copied = encode([bases[i] for i in slots], target, block)
+        kept = [i for i, n in zip(slots, copied, strict=True) if n > 0 and (floor is None or n >= floor)]
+        if len(kept) == len(slots) or not kept:
+            return payload, slots
+        slots = kept
+
+
+def least_contribution(size: int) -> int | None:
+    """``contribution_floor`` of one size."""
+    return None if size < 1024 else max(256, size // 8) if size < 32768 else max(4096, size // 20)
 
 
 def admissible(saving: F.Column, copied: F.Column, direct: F.Column, size: F.Column) -> F.Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 #: A full checkpoint replaces the delta when the chain before it is this deep.
 CHECKPOINT_DEPTH = 63
 
@@ -78,14 +80,55 @@ def new_blobs(update: DataFrame, blobs: DataFrame) -> DataFrame:
     return update.select("sha", "size").distinct().join(blobs, "sha", "left_anti")
 
 
-def closure(links: DataFrame, limit: int = 64) -> DataFrame:
-    """Final target of each ``links(path, target)``: pointers are doubled until none
-    moves. A row that meets a cycle or ``limit`` steps has a null target."""
-    now = links.select("path", "target")
-    steps = 1
-    while steps < limit:
+def closure(links: DataFrame) -> DataFrame:
+    """Final target of each ``links(path, target)``, chains of any length: pointers are
+    doubled until no target is a path itself. Only rows that run into a cycle have a
+    null target.
+
+    Each round doubles the steps that are done. After as many rounds as a chain of
+    all rows can need, what still points at a path is on the way into a cycle, so
+    long chains are told from cycles.
+    """
+    now = cut(links.select("path", "target"))
+    left, rounds = now.count(), 0
+    while left and 1 << rounds <= left:
         hop = now.select(F.col("path").alias("target"), F.col("target").alias("next"))
-        now = now.join(hop, "target", "left").select("path", F.coalesce("next", "target").alias("target"))
-        steps *= 2
+        step = cut(now.join(hop, "target", "left").select("path", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
+        now, rounds = step.select("path", "target"), rounds + 1
+        if step.where("moved").isEmpty():
+            return now
     loop = now.select(F.col("path").alias("target"), F.lit(1).alias("again")).distinct()
     return now.join(loop, "target", "left").select("path", F.when(F.col("again").isNull(), F.col("target")).alias("target"))
+
+
+def chain_depths(generations: DataFrame, most: int = 128) -> DataFrame:
+    """``(gen, root, depth, fault)`` of each ``generations(gen, prev, full)``: how many deltas
+    lie between it and the full one below it.
+
+    ``fault`` is ``broken`` where a parent is missing, ``cycle`` where the chain comes
+    back, ``too_deep`` beyond ``most`` deltas, else null. Parents are doubled as in
+    ``closure``, so a chain of any length takes rounds of its logarithm.
+    """
+    now = cut(generations.select("gen", F.when(F.col("full"), F.col("gen")).otherwise(F.col("prev")).alias("root"), F.when(F.col("full"), 0).otherwise(1).cast("long").alias("depth")))
+    left, rounds = now.count(), 0
+    while left and 1 << rounds <= 2 * left:
+        hop = now.select(F.col("gen").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        step = now.join(hop, "root", "left")
+        now = cut(step.select("gen", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        rounds += 1
+    known = generations.select(F.col("gen").alias("root"), F.col("full").alias("rf"))
+    fault = F.when(F.col("rf").isNull(), "broken").when(~F.col("rf"), "cycle").when(F.col("depth") > most, "too_deep")
+    return now.join(known, "root", "left").select("gen", "root", F.when(F.col("rf"), F.col("depth")).alias("depth"), fault.alias("fault"))
+
+
+def recover(generations: DataFrame, most: int = 128) -> int | None:
+    """The newest generation that is committed with its whole chain, None if there is none."""
+    chain = chain_depths(generations, most).where("fault IS NULL").select("gen")
+    bad = generations.where("NOT committed").select(F.col("gen").alias("root"))
+    # a chain is whole if no uncommitted generation lies on it: those above one are marked
+    marked, grown = cut(bad), -1
+    while (n := marked.count()) != grown:
+        grown = n
+        above = generations.where("NOT full").join(marked.select(F.col("root").alias("prev")), "prev").select(F.col("gen").alias("root"))
+        marked = cut(marked.unionByName(above).distinct())
+    return chain.join(marked.withColumnRenamed("root", "gen"), "gen", "left_anti").agg(F.max("gen")).first()[0]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import size_bucket
+from ..shared import cut
 
 BANDS, SHINGLE = 8, 64
 #: Ids that a bucket keeps, and candidates of a target (fixed values).
@@ -46,13 +44,21 @@ def _pairs(rows: DataFrame, key: list[str], bucket: int) -> DataFrame:
 
     The bound is kept by ranking inside each bucket first: of a bucket's ids in
     order, a target at rank r of the union meets those of rank r-bucket..r-1, so
-    a band join on ranks replaces the join of all with all.
+    a band join on ranks replaces the join of all with all. Ranks are counted by
+    ranges of the ids: the ranges' sums first, then inside each, so that a bucket
+    that holds most nodes, as that of the zero feature, is no single window.
     """
+    span = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    wide = max(1, ((span[1] or 0) - (span[0] or 0) + 1) // max(1, span[2] >> 14))
     probes = rows.withColumn("probe", F.explode(F.array(*[F.col("size_bucket") + d for d in (-1, 0, 1)])))
     sides = rows.select(*key, F.col("size_bucket").alias("probe"), "id", F.lit(1).alias("base")).unionByName(probes.select(*key, "probe", "id", F.lit(0).alias("base")))
-    line = Window.partitionBy(*key, "probe").orderBy("id", "base").rowsBetween(Window.unboundedPreceding, -1)
+    sides = sides.withColumn("range", F.floor((F.col("id") - (span[0] or 0)) / wide))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sides.groupBy(*key, "probe", "range").agg(F.sum("base").alias("n"))
+    ahead = ahead.withColumn("ahead", F.coalesce(F.sum("n").over(upto(*key, "probe").orderBy("range")), F.lit(0))).drop("n")
     # bases before each row in its bucket; a base has the number it gets itself
-    ranked = sides.withColumn("before", F.coalesce(F.sum("base").over(line), F.lit(0)))
+    inside = F.coalesce(F.sum("base").over(upto(*key, "probe", "range").orderBy("id", "base")), F.lit(0))
+    ranked = sides.withColumn("inside", inside).join(ahead, [*key, "probe", "range"]).withColumn("before", F.col("ahead") + F.col("inside"))
     bases = ranked.where("base = 1").select(*key, "probe", F.col("id").alias("base_id"), F.col("before").alias("number"))
     targets = ranked.where("base = 0 AND before > 0").select(*key, "probe", F.col("id").alias("target"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("before") - bucket), F.col("before") - 1)).alias("number"))
     return targets.join(bases, [*key, "probe", "number"])
@@ -83,46 +89,53 @@ def similarity_order(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy("id", "size_bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("band", "feature"))), lambda x: x["feature"]), "").alias("f")).select("id", F.concat(F.lpad(F.col("size_bucket").cast("string"), 3, "0"), F.lit(":"), "f").alias("key"))
 
 
-def central_bases(edges: DataFrame, component: str) -> DataFrame:
-    """``(target, base, saving)`` of depth one from ``edges(component, target, base,
-    saving)``: bases go by all they save, a base is never a target, a target moves
-    only to a base that saves strictly more.
+def nearest_sizes(nodes: DataFrame, most: int = NEAREST) -> DataFrame:
+    """``(target, base)``: for each of ``nodes(id, size)`` the ``most`` earlier ones of nearest
+    size, then of least id. For graphs of few nodes, whose caller says so."""
+    t, b = nodes.select(F.col("id").alias("target"), F.col("size").alias("ts")), nodes.select(F.col("id").alias("base"), F.col("size").alias("bs"))
+    line = Window.partitionBy("target").orderBy(F.abs(F.col("ts") - F.col("bs")), "base")
+    return t.join(F.broadcast(b), F.col("base") < F.col("target")).withColumn("r", F.row_number().over(line)).where(F.col("r") <= most).select("target", "base")
 
-    The choice is sequential, but only inside a connected component of the edges,
-    so components are folded apart from each other.
-    """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[(rows["saving"] > 0) & (rows["target"] != rows["base"])]
-        whole = rows.groupby("base")["saving"].sum()
-        chosen: dict[int, tuple[int, int]] = {}
-        used: set[int] = set()
-        of = dict(list(rows.groupby("base")))
-        for base in sorted(whole.index, key=lambda b: (-whole[b], b)):
-            if base in chosen:
-                continue
-            used.add(base)
-            for target, saving in of[base].sort_values(["saving", "target"], ascending=[False, True])[["target", "saving"]].itertuples(index=False):
-                if target not in used and saving > chosen.get(target, (0, 0))[1]:
-                    chosen[target] = (base, saving)
-        return pd.DataFrame([(t, b, s) for t, (b, s) in chosen.items()], columns=["target", "base", "saving"])
-
-    return edges.groupBy(component).applyInPandas(pick, "target long, base long, saving long")
-
-
-def components(edges: DataFrame, cut) -> DataFrame:
-    """``(node, component)`` by least labels over ``edges(target, base)``; ``cut``
-    writes what it is given to shared storage and reads it again."""
-    both = cut(edges.select(F.col("target").alias("a"), F.col("base").alias("b")).union(edges.select("base", "target")).distinct())
-    label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        # jump: the label of one's label
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(step.join(jump, "label").select("node", F.least("label", "next").alias("label"), "was"))
-        if new.where("label != was").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        label = new.select("node", "label")
+def discovered(sketch: DataFrame, few: int = 64) -> DataFrame:
+    """``moved_candidates``, and for at most ``few`` nodes also those of nearest size."""
+    found = moved_candidates(sketch)
+    nodes = sketch.select("id", "size").distinct()
+    if nodes.limit(few + 1).count() > few:
+        return found
+    near = nearest_sizes(nodes).join(found, ["target", "base"], "left_anti").withColumn("shared", F.lit(0).cast("long"))
+    return found.unionByName(near)
 
 
+def central_bases(edges: DataFrame) -> DataFrame:
+    """``(target, base, saving)`` of depth one from ``edges(target, base, saving)``.
+
+    Bases have an order: by all they save, the most first, then by id. A base is
+    used unless a used one before it has it as a target; each target that is no used
+    base goes to the used base that saves most on it, of equal ones to the first.
+    Whether a base is used hangs only on those before it that have it as a target,
+    so rounds settle all at once: of the undecided those go that a used one reaches,
+    and those stay that no undecided one before them reaches. No component of the
+    graph has to fit one task.
+    """
+    edges = cut(edges.where("saving > 0 AND target != base").groupBy("target", "base").agg(F.max("saving").alias("saving")))
+    order = edges.groupBy("base").agg((-F.sum("saving")).alias("whole"))
+    rank = lambda whole, node: F.struct(F.col(whole).alias("w"), F.col(node).alias("n"))
+    own = order.select(F.col("base").alias("target"), F.col("whole").alias("tw"))
+    # which earlier base reaches which base
+    met = edges.join(order, "base").join(own, "target").where(rank("whole", "base") < rank("tw", "target")).select("base", F.col("target").alias("to"))
+    met, open_, used = cut(met), cut(order.select("base")), None
+    while open_.limit(1).count():
+        waiting = met.select(F.col("to").alias("base")).distinct()
+        now = cut(open_.join(waiting, "base", "left_anti"))
+        used = now if used is None else used.unionByName(now)
+        out = cut(met.join(now, "base", "left_semi").select(F.col("to").alias("base")).distinct())
+        done = now.unionByName(out).distinct()
+        open_ = cut(open_.join(done, "base", "left_anti"))
+        met = met.join(done, "base", "left_anti").join(out.withColumnRenamed("base", "to"), "to", "left_anti")
+        met = cut(met.select("base", "to"))
+    if used is None:
+        return edges.select("target", "base", "saving").limit(0)
+    mine = edges.join(used, "base", "left_semi").join(used.withColumnRenamed("base", "target"), "target", "left_anti").join(order, "base")
+    best = F.max_by(F.struct("base", "saving"), F.struct("saving", (-F.col("whole")).alias("w"), (-F.col("base")).alias("n")))
+    return mine.groupBy("target").agg(best.alias("b")).select("target", "b.base", "b.saving")

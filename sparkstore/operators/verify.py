@@ -2,37 +2,111 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EMPTY_ROOT = "00" * 32
+from ..shared import cut
+
+#: Root of a tree without leaves: a hash that no leaf and no pair can have.
+EMPTY_ROOT = hashlib.sha256(b"sparkstore: a tree without leaves").hexdigest()
+#: Levels of a Merkle tree that one aggregation folds.
+FOLDED = 10
+
+
+def _u(n, width: int):
+    """Big-endian bytes of a number."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
+
 
+def record(kind, path, size, detail):
+    """What a tree digest holds of an entry: length and bytes of the path, then F with size
+    and content hash, D for a directory, or L with length and text of a link."""
+    name, text = path.cast("binary"), F.coalesce(detail, F.lit("")).cast("binary")
+    head = F.concat(_u(F.octet_length(name), 4), name)
+    file = F.concat(F.lit(b"F"), _u(size, 8), F.unhex(F.coalesce(detail, F.lit(""))))
+    return F.concat(head, F.when(kind == "file", file).when(kind == "dir", F.lit(b"D")).otherwise(F.concat(F.lit(b"L"), _u(F.octet_length(text), 4), text)))
+
+
+def tree_digest(entries: DataFrame, by: str) -> DataFrame:
+    """``(by, files, digest)``: one SHA-256 over the ``record`` of each of ``entries(by, path,
+    kind, size, detail)``, in the order of their path components.
+
+    ``detail`` is the content hash of a file, the target of a link. One hash over an
+    order is a fold: each ``by`` is sorted and streamed by one task, that holds a
+    batch of records; ``merkle_roots`` is the digest that all tasks share in.
+    """
+    rows = entries.select(F.col(by).cast("string").alias("k"), F.split("path", "/").alias("parts"), record(F.col("kind"), F.col("path"), F.col("size"), F.col("detail")).alias("r"))
+    return _folded(rows, by)
 
-def tree_digest(members: DataFrame, by: str) -> DataFrame:
-    """One hash for each ``by``: entries in the order of their path components, each
-    its path and content hash. Only hashes are gathered, not contents."""
-    line = F.concat(F.col("path"), F.lit("\n"), F.sha2("data", 256), F.lit("\n"))
-    rows = members.select(by, F.split("path", "/").alias("parts"), line.alias("line"))
-    return rows.groupBy(by).agg(F.count("*").alias("files"), F.sha2(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY parts)").cast("binary"), 256).alias("digest"))
 
+def content_digest(members: DataFrame, by: str) -> DataFrame:
+    """As ``tree_digest``, of files alone with all their bytes: length and bytes of the
+    path, length and bytes of ``data``."""
+    name = F.col("path").cast("binary")
+    r = F.concat(_u(F.octet_length(name), 4), name, _u(F.octet_length("data"), 8), F.col("data"))
+    return _folded(members.select(F.col(by).cast("string").alias("k"), F.split("path", "/").alias("parts"), r.alias("r")), by)
 
-def merkle_roots(leaves: DataFrame, by: str, order: str) -> DataFrame:
+
+def _folded(rows: DataFrame, by: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, h = (), 0, None
+        for part in batches:
+            out = []
+            for k, r in zip(part["k"], part["r"], strict=True):
+                if (k,) != key:
+                    if h:
+                        out.append((*key, n, h.hexdigest()))
+                    key, n, h = (k,), 0, hashlib.sha256()
+                h.update(r)
+                n += 1
+            yield pd.DataFrame(out, columns=["k", "files", "digest"])
+        if h:
+            yield pd.DataFrame([(*key, n, h.hexdigest())], columns=["k", "files", "digest"])
+
+    line = rows.repartition("k").sortWithinPartitions("k", "parts").select("k", "r")
+    return line.mapInPandas(run, "k string, files long, digest string").withColumnRenamed("k", by)
+
+
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Adds ``i``, the place of each row under its ``by`` in order of the long ``order``, from
+    0, and ``n``, the rows of the ``by``. Ranges of the order are counted first, so that
+    no window holds a ``by``."""
+    span = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    wide = max(1, ((span[1] or 0) - (span[0] or 0) + 1) // max(1, span[2] >> 14))
+    rows = rows.withColumn("__r", F.floor((F.col(order) - (span[0] or 0)) / wide))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(by, "__r").agg(F.count("*").alias("c"))
+    ahead = counts.select(F.col(by).alias("__k"), F.col("__r").alias("__q"), F.coalesce(F.sum("c").over(upto(by).orderBy("__r")), F.lit(0)).alias("__a"), F.sum("c").over(Window.partitionBy(by)).alias("n"))
+    both = rows.join(ahead, F.col(by).eqNullSafe(F.col("__k")) & (F.col("__r") == F.col("__q")))
+    return both.withColumn("i", F.col("__a") + F.count("*").over(upto(by, "__r").orderBy(order))).drop("__k", "__q", "__a", "__r")
+
+
+def merkle_roots(leaves: DataFrame, by: str, order: str, groups: DataFrame | None = None) -> DataFrame:
     """Merkle root of the ``leaf`` hashes (hex) of each ``by``, in order of ``order``.
 
     A leaf is hashed after a zero byte, a pair after a one byte; an odd level
-    pairs its last with itself. One level is one aggregation that halves the rows.
+    pairs its last with itself. One aggregation folds 2^FOLDED nodes to one, so n
+    leaves take log(n) / FOLDED rounds. Of ``groups(by)`` that have no leaf the root
+    is EMPTY_ROOT.
     """
-    line, whole = Window.partitionBy(by).orderBy(order), Window.partitionBy(by)
     h = lambda x: F.unhex(F.sha2(x, 256))
-    first = h(F.concat(F.unhex(F.lit("00")), F.unhex("leaf")))
-    level = leaves.select(by, (F.row_number().over(line) - 1).cast("long").alias("i"), F.count("*").over(whole).alias("n"), first.alias("h"))
-    most = leaves.groupBy(by).count().agg(F.max("count")).first()[0] or 1
-    while most > 1:
-        pair = level.groupBy(by, "n", F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("l"), F.max_by("h", "i").alias("r"))
-        new = F.when(F.col("n") == 1, F.col("l")).otherwise(h(F.concat(F.unhex(F.lit("01")), "l", "r")))
-        level = pair.select(by, "i", F.ceil(F.col("n") / 2).alias("n"), new.alias("h"))
-        most = (most + 1) // 2
-    return level.select(by, F.lower(F.hex("h")).alias("root"))
+    level = cut(numbered(leaves.select(by, order, h(F.concat(F.unhex(F.lit("00")), F.unhex("leaf"))).alias("h")), by, order).select(by, "i", "n", "h"))
+    pair = lambda xs: F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / 2).cast("int") - 1), lambda j: h(F.concat(F.unhex(F.lit("01")), F.get(xs, 2 * j), F.get(xs, F.least(2 * j + 1, F.size(xs) - 1)))))
+    while level.where("n > 1").limit(1).count():
+        block = level.groupBy(by, "n", F.floor(F.col("i") / (1 << FOLDED)).alias("i")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("xs"))
+        # the only block is folded to its root, one of several to its level, repeating its last
+        steps = F.when(F.col("n") > 1 << FOLDED, FOLDED).otherwise(F.length(F.bin(F.col("n") - 1)) * (F.col("n") > 1).cast("int")).cast("int")
+        turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+        level = cut(block.select(by, "i", F.ceil(F.col("n") / (1 << FOLDED)).alias("n"), F.get(F.aggregate(turns, F.col("xs"), lambda acc, _: pair(acc)), F.lit(0)).alias("h")))
+    out = level.select(by, F.lower(F.hex("h")).alias("root"))
+    if groups is None:
+        return out
+    own = out.withColumnRenamed(by, "__k")
+    return groups.select(by).distinct().join(own, F.col(by).eqNullSafe(F.col("__k")), "left").select(by, F.coalesce("root", F.lit(EMPTY_ROOT)).alias("root"))
 
 
 def mismatches(rows: DataFrame) -> DataFrame:
@@ -43,3 +117,13 @@ def mismatches(rows: DataFrame) -> DataFrame:
 def crc_mismatches(rows: DataFrame) -> DataFrame:
     """Rows whose stored ``crc`` is absent or not that of their ``data``, with the ``found`` one."""
     return rows.withColumn("found", F.crc32("data")).where(~F.col("crc").eqNullSafe(F.col("found")))
+
+
+def declared_hashes(entries: DataFrame, blobs: DataFrame, recipes: DataFrame) -> DataFrame:
+    """The hash that each of ``entries(path, storage, ref, own)`` must have: that of its blob,
+    or of its recipe, or what its row declares; null where none is told."""
+    b = blobs.select(F.col("blob_id").alias("ref"), F.col("sha").alias("bs"))
+    r = recipes.select(F.col("recipe_id").alias("ref"), F.col("sha").alias("rs"))
+    both = entries.join(b, "ref", "left").join(r, "ref", "left")
+    told = F.when(F.col("storage") == "blob", F.col("bs")).when(F.col("storage") == "recipe", F.col("rs")).otherwise(F.col("own"))
+    return both.select("path", "storage", told.alias("sha"))

@@ -1,16 +1,45 @@
-"""Lineage cuts in shared storage."""
+"""What the operators share: lineage cuts in shared storage, batches of bounded size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes and rows that a Python worker is sent at once.
+BATCH_BYTES, BATCH_ROWS = 32 << 20, 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir`` and read from there; a
-    folder is made only where none is set."""
+    """``df`` as a Parquet table below the session's ``spark.checkpoint.dir``, read from there.
+
+    Where that is unset a folder is made if the master is local; elsewhere it would
+    be out of the executors' sight, and that is an error. The table has its true
+    size, by which later joins are planned.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, for a Python function over payloads: a batch holds BATCH_BYTES, or one row.
+
+    The settings stay in the session, as they are read when a query is planned;
+    smaller ones, and sizes set by hand with a unit, are left alone.
+    """
+    spark: SparkSession = df.sparkSession
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, most)
+    return df

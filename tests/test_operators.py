@@ -1,5 +1,6 @@
 """Operators that SQL does not reach, and edges of those that it does."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkstore import sources, streaming
 from sparkstore.functions import extension, path_fault
-from sparkstore.operators import chunking, codecs, content, delta, extents, gate, journal, packing, recipes, resemblance, validate
-from sparkstore.shared import cut
+from sparkstore.operators import chunking, codecs, content, delta, extents, gate, journal, packing, planning, recipes, resemblance, validate, verify
 
 BYTES = st.binary(max_size=400)
 
@@ -108,6 +108,116 @@ def test_greedy_packs_reset(spark):
     assert got == [(0, 0, 0), (1, 0, 5), (2, 1, 0), (3, 2, 0), (4, 2, 3), (5, 3, 0)]
 
 
+@pytest.mark.parametrize("parts", ["1", "13"])
+def test_greedy_packs_against_a_loop(spark, parts):
+    """Over many ranges of one key, keys that end inside ranges, sizes of nought and too large ones."""
+    r, limit = random.Random(parts), 50
+    items = [(k, i, r.choice([0, 1, 3, 7, 20, 50, 51, 90])) for k, n in (("a", 700), (None, 150), ("b", 3), ("c", 90)) for i in range(n)]
+    want = []
+    for k in {k for k, _, _ in items}:
+        pack, used, slot = -1, 0, 0
+        for _, i, n in (x for x in items if x[0] == k):
+            if pack < 0 or (slot and used + n > limit):
+                pack, used, slot = pack + 1, 0, 0
+            want.append((str(k), i, n, pack, slot, used))
+            used, slot = used + n, slot + 1
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.greedy(spark.createDataFrame(items, "by string, i long, size long").repartition(5), "by", ["i"], "size", limit).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((str(x.by), x.i, x.size, x.pack, x.slot, x.off) for x in got) == sorted(want)
+
+
+def test_merkle_roots_against_a_loop(spark, monkeypatch):
+    def root(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+        return level[0].hex()
+
+    sizes = [1, 2, 3, 4, 5, 7, 8, 9, 17, 31, 33, 64]
+    leaves = {n: [hashlib.sha256(f"{n}/{i}".encode()).digest() for i in range(n)] for n in sizes}
+    df = spark.createDataFrame([(n, 3 * i, x.hex()) for n, xs in leaves.items() for i, x in enumerate(xs)], "k long, at long, leaf string").repartition(7)
+    for folded in (2, 10):
+        monkeypatch.setattr(verify, "FOLDED", folded)
+        got = {r.k: r.root for r in verify.merkle_roots(df, "k", "at", spark.createDataFrame([(99,), (1,)], "k long").union(df.select("k"))).collect()}
+        assert got == {**{n: root(xs) for n, xs in leaves.items()}, 99: verify.EMPTY_ROOT}
+
+
+def test_long_chains_are_no_cycles(spark):
+    links = [(f"p{i}", f"p{i + 1}") for i in range(100)] + [("x", "y"), ("y", "z"), ("z", "y"), ("a", "x")]
+    got = {r.path: r.target for r in journal.closure(spark.createDataFrame(links, "path string, target string")).collect()}
+    assert got == {**{f"p{i}": "p100" for i in range(100)}, "x": None, "y": None, "z": None, "a": None}
+
+
+def test_chains_of_generations(spark):
+    gens = [(0, None, True, True), (1, 0, False, True), (2, 1, False, False), (3, 2, False, True), (4, 9, False, True), (5, 6, False, True), (6, 5, False, True), (7, 1, False, True)]
+    df = spark.createDataFrame(gens, "gen long, prev long, full boolean, committed boolean")
+    got = {r.gen: (r.depth, r.fault) for r in journal.chain_depths(df, most=2).collect()}
+    assert got == {0: (0, None), 1: (1, None), 2: (2, None), 3: (3, "too_deep"), 4: (None, "broken"), 5: (None, "cycle"), 6: (None, "cycle"), 7: (2, None)}
+    assert journal.recover(df) == 7 and journal.recover(df.where("gen < 7")) == 1 and journal.recover(df.where("gen = 2")) is None
+
+
+def test_refused_pairs_leave_the_others(spark):
+    big = bytearray(9 << 20)
+    rows = [(1, [big], bytearray(b"x" * 100)), (2, [bytearray(b"abc" * 50)], bytearray(b"abc" * 60)), (3, None, bytearray(b"y"))]
+    got = {r.id: r for r in delta.restored(delta.deltas(spark.createDataFrame(rows, "id long, bases array<binary>, target binary"))).collect()}
+    assert got[1].delta is None and "bounds" in got[1].refused and got[3].refused == "null"
+    assert bytes(got[2].again) == b"abc" * 60 and got[2].refused is None
+
+
+@settings(max_examples=40, deadline=None)
+@given(data=st.binary(max_size=300), block=st.integers(1, 40))
+def test_weak_checksums_roll(data, block):
+    all_ = delta.weak_checksums(data, block)
+    assert len(all_) == max(0, len(data) - block + 1)
+    state = None
+    for i, got in enumerate(all_.tolist()):
+        want = delta.weak_checksum(data[i : i + block])
+        state = want if state is None else delta.roll(state, data[i - 1], data[i + block - 1], block)
+        assert state == want and got == want[1] << 16 | want[0]
+
+
+def test_bases_that_give_nothing_go():
+    r = random.Random(1)
+    a, b, c = (r.randbytes(3000) for _ in range(3))
+    payload, slots = delta.compacted([c, a, b[:100]], a + b[:100], 16)
+    assert slots == [1] and delta.decode([a], payload) == a + b[:100]
+
+
+def test_disjoint_pairs_are_the_greedy_ones(spark):
+    r = random.Random(2)
+    pairs = [(g, i, j, r.randint(1, 5)) for g in range(3) for i in range(25) for j in range(i + 1, min(25, i + 5))]
+    want, used = [], set()
+    for g, i, j, n in sorted(pairs, key=lambda x: (x[0], -x[3], x[1], x[2])):
+        if not {(g, i), (g, j)} & used:
+            used |= {(g, i), (g, j)}
+            want.append((g, i, j, n))
+    got = planning.fuse(spark.createDataFrame(pairs, "g long, pos long, pos2 long, gain long"), "g").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sparse_members_read_and_hash(spark):
+    data = bytearray(3 << 20)
+    data[5000:5003], data[1 << 20 : (1 << 20) + 9000] = b"abc", b"z" * 9000
+    members = spark.createDataFrame([("s", data), ("small", bytearray(100)), ("full", bytearray(b"x" * (2 << 20))), ("zero", bytearray(1 << 20))], "path string, data binary")
+    runs = extents.runs_of_zeros(members)
+    assert {r.path for r in runs.collect()} == {"s", "zero"}
+    parts = runs.join(members, "path").select("path", "seq", "off", "len", F.expr("substring(data, int(off + 1), int(len))").alias("data"))
+    sizes = members.select("path", F.octet_length("data").cast("long").alias("size"))
+    got = {r.path: r.sha for r in extents.sparse_hash(parts, sizes.where("path IN ('s', 'zero')")).collect()}
+    assert got == {"s": hashlib.sha256(data).hexdigest(), "zero": hashlib.sha256(bytes(1 << 20)).hexdigest()}
+    asked = [(0, 10), (4999, 5), (0, 3 << 20), ((1 << 20) - 1, 9002), ((3 << 20) - 2, 99)]
+    req = spark.createDataFrame([("s", *x) for x in asked], "path string, start long, length long")
+    plan = extents.filled_ranges(parts.drop("data"), req, sizes, "path")
+    read = {(r.start, r.length): bytes(r.data) for r in extents.read_sparse(plan, parts.select("path", "seq", "data"), "path").collect()}
+    assert read == {(a, min(n, (3 << 20) - a)): bytes(data[a : a + n]) for a, n in asked}
+
+
 def test_pack_plan_sticks_to_the_usual(spark):
     plans = spark.createDataFrame([("a", 524288, 100000, 2.0), ("a", 1048576, 99500, 3.0), ("b", 524288, 100000, 2.0), ("b", 1048576, 90000, 3.0), ("c", 65536, 9, 9.0), ("c", 131072, 10, 7.0)], "by string, plan_limit long, cost long, amplification double")
     assert {r.by: r.plan_limit for r in packing.choose(plans, "by").collect()} == {"a": 524288, "b": 1048576, "c": 131072}
@@ -133,12 +243,33 @@ def test_lsh_bounds_hold(spark):
     assert all(r.target - 7 <= r.base < r.target for r in got.itertuples())
 
 
-def test_bases_are_never_targets(spark):
-    edges = spark.createDataFrame([(1, 0, 10), (2, 0, 20), (2, 1, 25), (3, 2, 5), (3, 0, 1)], "target long, base long, saving long")
-    parts = resemblance.components(edges, cut).withColumnRenamed("node", "target")
-    got = resemblance.central_bases(edges.join(parts, "target"), "component").collect()
-    assert not {r.base for r in got} & {r.target for r in got}
-    assert {r.component for r in parts.collect()} == {0}
+def chosen(edges):
+    """The sequential choice of bases."""
+    whole, used, out = {}, set(), {}
+    for _, b, n in edges:
+        whole[b] = whole.get(b, 0) + n
+    for base in sorted(whole, key=lambda b: (-whole[b], b)):
+        if base in out:
+            continue
+        used.add(base)
+        for t, n in sorted(((t, n) for t, b, n in edges if b == base), key=lambda x: (-x[1], x[0])):
+            if t not in used and n > out.get(t, (0, 0))[1]:
+                out[t] = (base, n)
+    return sorted((t, b, n) for t, (b, n) in out.items())
+
+
+def test_bases_against_the_sequential_choice(spark):
+    r = random.Random(6)
+    for n, m in ((6, 8), (30, 90), (60, 400)):
+        pairs = {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+        edges = [(t, b, r.randint(1, 9)) for t, b in pairs if t != b]
+        df = spark.createDataFrame(edges, "target long, base long, saving long")
+        got = sorted(map(tuple, resemblance.central_bases(df).collect()))
+        assert got == chosen(edges)
+        assert not {b for _, b, _ in got} & {t for t, _, _ in got}
+    chain = [(i + 1, i, 1000 - i) for i in range(20)]
+    assert sorted(map(tuple, resemblance.central_bases(spark.createDataFrame(chain, "target long, base long, saving long")).collect())) == chosen(chain)
+    assert resemblance.central_bases(df.limit(0)).count() == 0
 
 
 def test_salvage_finds_what_fits(spark):
@@ -171,7 +302,7 @@ SOUND = {
     ("table", "row", "column", "value", "rules"),
     [
         (None, 0, "", 0, set()),
-        ("entries", 1, "path", "a/../b", {"path_unsafe"}), ("entries", 1, "path", "f", {"path_duplicate", "dir_with_data"}), ("entries", 1, "kind", 9, {"kind_unknown"}),
+        ("entries", 1, "path", "a/../b", {"path_unsafe"}), ("entries", 1, "path", "f", {"path_duplicate", "dir_with_data", "hardlink_not_file"}), ("entries", 1, "kind", 9, {"kind_unknown"}),
         ("entries", 0, "size", 11, {"extent_total"}), ("entries", 1, "size", -1, {"size_negative"}), ("entries", 2, "link_target", "zz", {"hardlink_missing"}), ("entries", 2, "link_target", "h", {"hardlink_chain"}),
         ("blobs", 0, "codec", 7, {"codec_unknown"}), ("blobs", 1, "csize", 1 << 31, {"blob_limit", "raw_size"}), ("blobs", 1, "csize", 3, {"raw_size"}),
         ("extents", 1, "off", 7, {"extent_gap"}), ("extents", 1, "blob_id", 5, {"blob_missing"}), ("extents", 1, "blob_off", 1, {"slice_outside"}), ("extents", 1, "len", 3, {"extent_total"}),
