@@ -196,13 +196,13 @@ def keep_one(docs: DataFrame, shingle: int = similar.SHINGLE, radius: int = RADI
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(similar.marked(own, shingle))
-    sets = cut(rows.groupBy("s").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.count("*").alias("rows")))
+    sets = cut(rows.groupBy("s").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("bits").alias("bits"), F.count("*").alias("rows")))
     prints = cut(sets.groupBy("fp").agg(F.min("t").alias("hub"), F.count("*").alias("n")))
     edges = links(prints.select("fp"), radius, bucket)
     ends = [prints.select(F.col("fp").alias(k), F.col("hub").alias(f"t{k}")) for k in "ab"]
     far = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
     equal = look_up(sets.select("t", "fp"), "fp", prints, "hub", sets.count(), "t").where("t != hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
-    known = similar.confirmed(own, cut(far.unionByName(equal).distinct()), shingle)
+    known = similar.confirmed(own, sets, far.unionByName(equal).distinct(), shingle)
     parts = components(similar.complete(own, sets, known, shingle)).withColumnRenamed("node", "t")
     rooted = cut(sets.join(parts, "t", "left").select("s", F.coalesce("root", "t").alias("root"), F.col("rows").alias("n")))
     line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
