@@ -205,7 +205,7 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return idx, length
 
 
-def score_texts(net: Network, texts: list[str | None], scale: tuple[float, float] = (1.0, 0.0), chunk: int = 2048) -> np.ndarray:
+def score_texts(net: Network, texts: list[str | None], scale: tuple[float, float] = (1.0, 0.0), chunk: int = 1024) -> np.ndarray:
     """Highest window probability of each text; all of its windows are scored.
 
     Windows pass in chunks sorted by length, so memory follows the chunk and the
@@ -356,7 +356,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, name
     if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are there already")
     spark = docs.sparkSession
-    short_batches(spark, 256)
+    short_batches(spark, 128)
     net, scale = train(*labelled_sample(docs, labels, train_rows))
     model = spark.sparkContext.broadcast((net.p, scale))  # plain values
 
