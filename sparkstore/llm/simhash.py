@@ -188,8 +188,8 @@ def keep_one(docs: DataFrame, shingle: int = similar.SHINGLE, radius: int = RADI
 
     Near duplicates are texts whose sets of ``shingle``-word shingles have a Jaccard
     likeness of 0.8 or more, and chains of them. Pairs come from covering tables over
-    the SimHash of those shingles, each confirmed on the whole texts; ``similar``
-    completes them by those that differ in more than ``radius`` bits. Null texts
+    the SimHash of those shingles; ``similar`` confirms each on the whole texts and
+    completes them by pairs that differ in more than ``radius`` bits. Null texts
     count as empty, and all texts without words are alike. Of equal rows some one
     stays; rows of one doc_id and other texts are told apart. Extra columns, whatever
     their names, stay; an empty table stays empty.
@@ -202,9 +202,8 @@ def keep_one(docs: DataFrame, shingle: int = similar.SHINGLE, radius: int = RADI
     ends = [prints.select(F.col("fp").alias(k), F.col("hub").alias(f"t{k}")) for k in "ab"]
     far = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
     equal = look_up(sets.select("t", "fp"), "fp", prints, "hub", sets.count(), "t").where("t != hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
-    known = similar.confirmed(own, sets, far.unionByName(equal).distinct(), shingle)
-    parts = components(similar.complete(own, sets, known, shingle)).withColumnRenamed("node", "t")
-    rooted = cut(sets.join(parts, "t", "left").select("s", F.coalesce("root", "t").alias("root"), F.col("rows").alias("n")))
+    parts = similar.classes(own, sets, far.unionByName(equal), shingle)
+    rooted = cut(sets.select("t", "s", F.col("rows").alias("n")).join(parts, "t").select("s", "root", "n"))
     line = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     best = look_up(rows.select("doc_id", "t", "s"), "s", rooted, "root", rows.count(), "t").groupBy("root").agg(F.min(line).alias("best"))
     i, t = fresh("id"), fresh("t")

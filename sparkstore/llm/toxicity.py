@@ -44,30 +44,38 @@ class Features:
         number = self.number
         return np.array([number.setdefault(w, len(number)) for w in tokens], np.int32)
 
-    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word row of each word, n-gram rows of all words end to end, and where each starts."""
-        coded = [f"<{w}>".encode("utf-8", "surrogatepass") for w in self.number]
-        data = np.frombuffer(b"".join(coded) + b"\0" * max(NGRAMS), np.uint8).astype(_U)
-        size = np.array([len(c) for c in coded], np.int64)
-        ends = np.cumsum(size)
-        starts = ends - size
-        with np.errstate(over="ignore"):
-            rolling, grams = np.zeros(len(data) - max(NGRAMS), _U), []
-            owner = np.repeat(np.arange(len(coded)), size)
-            left = np.repeat(ends, size) - np.arange(len(owner))
-            for j in range(max(NGRAMS)):
-                rolling = rolling * _U(0x100000001B3) + data[j : j + len(rolling)] + _U(1)
-                if j + 1 in NGRAMS:
-                    ok = left >= j + 1
-                    grams.append((owner[ok], _row(rolling[ok], j + 1, CHAR_ROWS)))
-            # a word's own hash: the sum of its bytes' hashes, each mixed with its place
-            place = np.arange(len(owner)) - np.repeat(starts, size)
-            mixed = _mix(data[: len(owner)] + _U(257) * place.astype(_U))
-            whole = _row(np.add.reduceat(mixed, starts), 1, WORD_ROWS) if len(coded) else np.zeros(0, np.int32)
-        own = np.concatenate([g[0] for g in grams])
-        order = np.argsort(own, kind="stable")
-        count = np.bincount(own, minlength=len(coded))
-        return whole, np.concatenate([g[1] for g in grams])[order], np.concatenate([[0], np.cumsum(count)])
+    def hashed(self, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word row of each word, n-gram rows of all words end to end, and where each starts.
+        Words are hashed ``step`` at a time, which bounds what is held beside the result."""
+        known = list(self.number)
+        parts = [_hashed(known[i : i + step]) for i in range(0, max(1, len(known)), step)]
+        whole, grams, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return whole, grams, np.concatenate([[0], np.cumsum(count)])
+
+
+def _hashed(known: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word rows, n-gram rows end to end, and n-grams of each of some words."""
+    coded = [f"<{w}>".encode("utf-8", "surrogatepass") for w in known]
+    data = np.frombuffer(b"".join(coded) + b"\0" * max(NGRAMS), np.uint8).astype(_U)
+    size = np.array([len(c) for c in coded], np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    with np.errstate(over="ignore"):
+        rolling, grams = np.zeros(len(data) - max(NGRAMS), _U), []
+        owner = np.repeat(np.arange(len(coded), dtype=np.int32), size)
+        left = np.repeat(ends, size) - np.arange(len(owner))
+        for j in range(max(NGRAMS)):
+            rolling = rolling * _U(0x100000001B3) + data[j : j + len(rolling)] + _U(1)
+            if j + 1 in NGRAMS:
+                ok = left >= j + 1
+                grams.append((owner[ok], _row(rolling[ok], j + 1, CHAR_ROWS).astype(np.int32)))
+        # a word's own hash: the sum of its bytes' hashes, each mixed with its place
+        place = np.arange(len(owner)) - np.repeat(starts, size)
+        mixed = _mix(data[: len(owner)] + _U(257) * place.astype(_U))
+        whole = _row(np.add.reduceat(mixed, starts), 1, WORD_ROWS) if len(coded) else np.zeros(0, np.int64)
+    own = np.concatenate([g[0] for g in grams])
+    order = np.argsort(own, kind="stable")
+    return whole, np.concatenate([g[1] for g in grams])[order], np.bincount(own, minlength=len(coded))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
