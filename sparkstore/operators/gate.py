@@ -28,3 +28,9 @@ def verdicts(base: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFram
         .otherwise("pass")
     )
     return b.join(c, keys, "full_outer").select(*keys, "b0", "b1", verdict.alias("verdict"))
+
+
+def set_difference(base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """What only one of two lists has: ``missing`` in the candidate, or ``new`` in it."""
+    gone, new = base.exceptAll(candidate), candidate.exceptAll(base)
+    return gone.withColumn("side", F.lit("missing")).unionByName(new.withColumn("side", F.lit("new")))

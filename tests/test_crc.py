@@ -8,7 +8,7 @@ from sparkstore.plans.queries import QUERIES
 
 def test_documents_with_damage_are_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    got = sorted(tuple(r) for r in QUERIES["crc_audit_documents"](spark, sf).select("doc_id", "crc", "found").collect())
+    got = sorted(tuple(r) for r in QUERIES["crc_audit"](spark, sf).select("doc_id", "crc", "found").collect())
     data = {r.doc_id: (r.text or "").encode() for r in docs if r.doc_id % 10 == 0}
     assert got == sorted((i, zlib.crc32(d), zlib.crc32(d + b"!")) for i, d in data.items()) and got
 
