@@ -878,11 +878,11 @@ def portfolio_totals(spark, sf):
 _ROOTS = """r AS (SELECT o_custkey AS target, o_orderkey AS base, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rank FROM orders)"""
 
 
-@query(f"""WITH {_ROOTS}, f AS (SELECT * FROM r WHERE rank < 5), x2 AS (SELECT a.target, b.rank AS top, [a.base, b.base] AS bases FROM f a JOIN f b ON a.target = b.target AND b.rank > a.rank),
+@query(f"""WITH {_ROOTS}, f AS MATERIALIZED (SELECT target, base, rank + 0 AS rank FROM r WHERE rank + 0 < 5), x2 AS (SELECT a.target, b.rank AS top, [a.base, b.base] AS bases FROM f a JOIN f b ON a.target = b.target AND b.rank > a.rank),
 x3 AS (SELECT x.target, c.rank AS top, list_append(x.bases, c.base) AS bases FROM x2 x JOIN f c ON c.target = x.target AND c.rank > x.top), x4 AS (SELECT x.target, list_append(x.bases, c.base) AS bases FROM x3 x JOIN f c ON c.target = x.target AND c.rank > x.top),
 s AS (SELECT target, bases FROM x2 UNION ALL SELECT target, bases FROM x3 UNION ALL SELECT target, bases FROM x4),
-t AS (SELECT target, bases, list_sum(bases) % 97 AS cost, list_sum(bases) % 5 AS copied FROM s), b AS (SELECT target, min(struct_pack(cost, c := -copied, bases)) AS b FROM t GROUP BY 1)
-SELECT target, array_to_string(b.bases, ',') AS bases, b.cost::BIGINT AS cost, (-b.c)::BIGINT AS copied FROM b""")
+t AS (SELECT target, bases, (list_sum(bases) % 97)::BIGINT AS cost, (list_sum(bases) % 5)::BIGINT AS copied FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cost, copied DESC, bases) AS n FROM t)
+SELECT target, array_to_string(bases, ',') AS bases, cost, copied FROM b WHERE n = 1""")
 def subset_tournament(spark, sf):
     """Sets of two to four of five bases of a target, the cheapest by given costs."""
     o = sources.table(spark, sf, "orders")
