@@ -21,6 +21,7 @@ ESCAPE = "\\"
 #: Event kinds; a null kind is a message.
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 ASSISTANT = "assistant"
+NONE = "none"
 
 _TOKENS = "|".join(f"{re.escape(c[0])}{{}}{re.escape(c[1:])}" for c in CONTROL)
 _PLAIN = re.compile(_TOKENS.replace("{}", r"\\*"))
@@ -123,10 +124,12 @@ def messages(events: DataFrame) -> DataFrame:
     have = set(events.columns)
     kind = F.coalesce(F.col("kind"), F.lit("message")) if "kind" in have else F.lit("message")
     mid = F.col("message_id").cast("string") if "message_id" in have else F.lit(None).cast("string")
-    log = events.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("seq").cast("long").alias("seq"), kind.alias("kind"), mid.alias("message_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    # a null conversation meets itself in joins under a name that no number has
+    log = events.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(NONE)).alias("conv_id"), F.col("seq").cast("long").alias("seq"), kind.alias("kind"), mid.alias("message_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    number = F.when(F.col("conv_id") != NONE, F.col("conv_id")).cast("long").alias("conv_id")
     alone = log.where("message_id IS NULL AND kind NOT IN ('regenerate', 'delete')").select("conv_id", "message_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if not {"kind", "message_id"} <= have:
-        return alone.drop("message_id").select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "role", "text")
+        return alone.drop("message_id").select(number, "seq", "role", "text")
     named = log.where("message_id IS NOT NULL")
     sort = ["conv_id", "message_id", "seq", "kind", "text"]
     folded = named.repartition("conv_id", "message_id").sortWithinPartitions(*sort).withColumn("seq", F.col("seq").cast("string"))
@@ -145,7 +148,7 @@ def messages(events: DataFrame) -> DataFrame:
     both = folded.unionByName(alone)
     same = [both[c].eqNullSafe(gone[c]) for c in ("conv_id", "message_id", "seq")]
     left = both.join(gone, same[0] & same[1] & same[2], "left_anti")
-    return left.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "role", "text")
+    return left.select(number, "seq", "role", "text")
 
 
 def turns(final: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ NGRAMS = (3, 4, 5)
 TRAIN_ROWS = 1200
 THRESHOLD = 0.3
 SEED = 9
+#: Slope and offset of a network that learned nothing: no text is toxic then.
+NOTHING = (0.0, -30.0)
 
 _WORDS = re.compile(r"\w{1,%d}" % WORD_CHARS)
 _U = np.uint64
@@ -275,7 +277,7 @@ def train(texts: list[str | None], labels: list[int], weights: tuple[float, floa
     y = np.array(labels, np.float32)
     parts = [windows(f.ids(words(t))) for t in texts]
     if not f.number or len(set(y.tolist())) < 2:
-        return net, (1.0, 0.0)
+        return net, NOTHING
     kept = r.random(len(y)) >= 1 / 5
     hashed = f.hashed()
     whole, grams, at = hashed
@@ -358,7 +360,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, name
     ``2 * train_rows`` documents and sent to the executors; its size is fixed. Every
     window of every whole text is scored, also in learning. Null and empty texts
     score like one empty window; without both classes among the labels nothing is
-    learned and scores say nothing. Repeated rows stay rows of their own with equal
+    learned, and all scores are next to 0. Repeated rows stay rows of their own with equal
     scores; null ids are scored like others.
     """
     if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:

@@ -127,6 +127,66 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.apply_mix(none).count() == 0
 
 
+def fold_twin(items, key, seed):
+    """The fold of one group, in Python: (id, size, m, whole, part) settled, and the one that is left."""
+    import xxhash
+
+    def draw(held, item):
+        h = 42
+        for v, wide in ((seed, 4), (key, 0), (held[0], 8), (item[0], 8), (held[1], 8), (item[1], 8)):
+            data = v.encode() if not wide else (v & (1 << 8 * wide) - 1).to_bytes(wide, "little")
+            h = xxhash.xxh64_intdigest(data, seed=h)
+        return (h - (1 << 64) if h >> 63 else h) % (1 << 40) / 2.0**40
+
+    held, done = list(items[0]), []
+    for item in map(list, items[1:]):
+        a, b = held[4] * held[1], item[4] * item[1]
+        room, other = (1 - held[4]) * held[1], (1 - item[4]) * item[1]
+        gain, loss = min(room, b), min(a, other)
+        grows = draw(held, item) * (gain + loss) < loss
+        own = room <= b if grows else a <= other
+        moved = gain if grows else -loss
+        if own:
+            done.append((*held[:4], 1.0 if grows else 0.0))
+            held = [*item[:4], (b - moved) / item[1]]
+        else:
+            done.append((*item[:4], 0.0 if grows else 1.0))
+            held[4] = (a + moved) / held[1]
+    return done, tuple(held)
+
+
+def test_fold_against_a_loop(spark):
+    r = random.Random(11)
+    for n in (1, 2, 7, 64):
+        items = [(r.randrange(1 << 40), r.randint(1, 50), 1, r.randint(0, 2), r.choice([0.25, r.random()])) for _ in range(n)]
+        df = spark.createDataFrame([(items,)], "xs array<struct<id:long,size:long,m:long,whole:long,part:double>>")
+        got = df.select(mixing._fold(F.col("xs"), F.lit("0/s/3"), 17).alias("r")).first().r
+        done, held = fold_twin(items, "0/s/3", 17)
+        assert [tuple(x) for x in got.done] == [pytest.approx(x) for x in done] and tuple(got.held) == pytest.approx(held)
+        words = lambda xs: sum(x[1] * x[4] for x in xs)
+        assert words([*done, held]) == pytest.approx(words(items))
+
+
+def test_apply_mix_deals_the_copies_of_a_kind(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SALT", 3)
+    rows = [(7, "one two three", "a", i) for i in range(10)] + [(7, f"x{i} two three", "a", i) for i in range(13)] + [(None, "b c", None, i) for i in range(9)]
+    rows += [(100 + i, "w " * (i % 9 + 1), "abc"[i % 3], i) for i in range(60)] + [(7, "one two three", "a", 10)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __all long").withColumn("__s", F.lit(1)).withColumn("m", F.lit(2))
+    want = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).collect()
+    want = {(r.doc_id, r.source, r["size"]): (r.n, r.rows) for r in want}
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    got, each = {}, {}
+    for r in out.collect():
+        k = (r.doc_id, r.source, len(words(r.text)))
+        got[k] = got.get(k, 0) + 1
+        each.setdefault(k, {}).setdefault((r.text, r["__all"]), 0)
+        each[k][r.text, r["__all"]] += 1
+    assert got == {k: n for k, (n, _) in want.items() if n}
+    for k, (n, m) in want.items():  # even, but for rows that are equal in all columns
+        assert all(x <= -(-n // m) for (text, i), x in each.get(k, {}).items() if (text, i) != ("one two three", 10))
+
+
 # 2
 
 
@@ -184,6 +244,17 @@ def test_edited_against_brute_force(spark, sf, odd, none):
             assert r.near_next == orderminhash.likeness(sign(t), sign(after))
     assert orderminhash.edited(odd, parts=5).count() == len(ODD)
     assert orderminhash.edited(none).count() == 0 and orderminhash.fingerprints(odd).count() == len(ODD)
+    # a hot id, equal rows, null ids: every row once, equal texts alike
+    rows = [(3, "same text", 0)] * 40 + [(3, f"text {i}", 0) for i in range(40)] + [(None, f"t{i % 7}", 0) for i in range(30)] + [(i, f"text {i}", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    for parts in (1, 9, 60):
+        told = orderminhash.edited(df, parts=parts).toPandas()
+        assert len(told) == len(rows) and told.doc_id.isna().sum() == 30 and (told.doc_id == 3).sum() == 81
+        same = told[told.fingerprint == orderminhash.hexed(sign("same text"))]
+        assert len(same) == 40 and (same.near_next == 1).sum() == 39
+        first = told if parts == 1 else first
+        key = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+        assert sorted(map(tuple, told[key].values)) == sorted(map(tuple, first[key].values))
     one = orderminhash.edited(odd.where("doc_id = 8")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
@@ -214,6 +285,73 @@ def test_language_on_held_out_documents(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.learn(none)).collect()} == {"und"}
 
 
+def ftrl_twin(rows, y, classes, kept, order):
+    """Per-coordinate FTRL-Proximal as it is defined, one number at a time."""
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= language.L1 else -(z[k] - np.sign(z[k]) * language.L1) / ((language.BETA + n[k] ** 0.5) / language.ALPHA + language.L2)
+    for i in order:
+        if kept[i]:
+            continue
+        at, x = rows[i]
+        at, x = [*at.tolist(), language.ROWS], [*x.tolist(), 1.0]
+        s = [sum(weight((a, c)) * v for a, v in zip(at, x, strict=True)) for c in range(classes)]
+        e = np.exp(np.array(s) - max(s))
+        p = e / e.sum()
+        for c in range(classes):
+            g0 = p[c] - (y[i] == c)
+            for a, v in zip(at, x, strict=True):
+                k, g = (a, c), g0 * v
+                w = weight(k)
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / language.ALPHA
+                z[k], n[k] = z.get(k, 0.0) + g - sigma * w, n.get(k, 0.0) + g * g
+    return weight, z
+
+
+def test_ftrl_against_its_definition(monkeypatch):
+    r = np.random.default_rng(4)
+    rows, y = [], []
+    for i in range(40):
+        at = np.sort(r.choice(50, 6, replace=False))
+        rows.append((at, r.random(6)))
+        y.append(int(at[0] % 3))
+    y = np.array(y)
+    w, t = language.fit(rows, y, 3)
+    r2 = np.random.default_rng(language.SEED)
+    kept = r2.random(len(rows)) < 0.2
+    order = np.concatenate([r2.permutation(np.flatnonzero(~kept)) for _ in range(language.EPOCHS)])
+    weight, z = ftrl_twin(rows, y, 3, kept, order)
+    for a, c in z:
+        assert w[a, c] == pytest.approx(weight((a, c)), abs=1e-9)
+    assert not w[[a for a in range(language.ROWS) if (a, 0) not in z]].any()
+    logits = np.array([np.append(x, 1) @ w[np.append(at, language.ROWS)] for (at, x), k in zip(rows, kept, strict=True) if k])
+    loss = lambda t: -np.log(language._softmax(logits / t)[np.arange(kept.sum()), y[kept]]).mean()
+    assert loss(t) == pytest.approx(min(loss(g) for g in np.geomspace(0.05, 20, 121)))
+
+
+def test_language_counts_and_samples(spark):
+    texts = [(i, f"{'der die das' if i % 2 else 'the of and'} {i % 5} {'x' * (i % 7)}", "de" if i % 2 else "en") for i in range(120)]
+    odd = [(None, "le la les", "fr")] * 50 + [(5, None, "en"), (6, "", "en"), (201, "123", "xx"), (8, "solo", "one")]
+    docs = spark.createDataFrame(texts + odd, "doc_id long, text string, lang string")
+    model = language.learn(docs, 20)
+    assert model.languages == ["de", "en", "fr", "one", "xx"]
+    counter, df, n = language.Counter(), np.zeros(language.ROWS), 0
+    for i, t, _ in texts + odd:
+        if t is not None and (i is None or __import__("zlib").crc32(str(i).encode()) % 4 != 2) and language.has_letter(t):
+            df += counter(t) > 0
+            n += 1
+    assert model.idf == pytest.approx((np.log((1 + n) / (1 + df)) + 1).astype(np.float32))
+    own = docs.where("text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {"de": 60, "en": 62, "fr": 1, "xx": 1, "one": 1}
+    got = language.sample(own, sizes, 20).toPandas()
+    assert got.groupby("lang").size().to_dict() == {"de": 20, "en": 20, "fr": 1, "xx": 1, "one": 1}
+    least = own.where("lang = 'de'").toPandas().h.drop_duplicates().nsmallest(20)
+    assert set(got[got.lang == "de"].h) == set(least)
+    with pytest.raises(ValueError):
+        language.identify(docs.withColumn("lang_pred", F.lit("mine")), model)
+    told = language.identify(docs.withColumn("__told", F.lit(1)), model, ("p", "s"))
+    assert told.columns == [*docs.columns, "__told", "p", "s"] and told.groupBy("text").agg(F.count_distinct("p", "s").alias("n")).where("n > 1").count() == 0
+
+
 # 4
 
 
@@ -289,6 +427,11 @@ def test_vectors_against_brute_force(spark, slice_rows):
     got = vectors.near_duplicates(df, slice_rows=slice_rows, cell_rows=10)
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in got.collect()) == brute_vectors(exact)
     assert all(x.kept == (x.vec_id == x.component_id) for x in got.collect())
+    more = df.unionByName(df.where("vec_id < 3")).unionByName(df.where("vec_id = 4").withColumn("vec_id", F.lit(None).cast("long")))
+    told = vectors.near_duplicates(more, slice_rows=slice_rows, cell_rows=10).toPandas()
+    assert len(told) == len(rows) + 4 and told.vec_id.isna().sum() == 1 and told[told.vec_id == 1].n_links.nunique() == 1
+    base = got.toPandas().set_index("vec_id").n_links
+    assert told[told.vec_id == 1].n_links.iloc[0] >= base[1] + 1 and told[told.vec_id.isna()].n_links.iloc[0] >= 1
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -359,6 +502,60 @@ def test_events_fold(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def in_order(log):
+    """A plain fold of each conversation in order of seq: what ``messages`` has to give."""
+    out = {}
+    for conv in {e[0] for e in log}:
+        told, texts = {}, {}
+        rows = sorted((e for e in log if e[0] == conv), key=lambda e: (e[1], e[2], e[5] or ""))
+        for i, (_, seq, kind, mid, role, text) in enumerate(rows):
+            mid = mid or f"-{i}"
+            if kind in ("regenerate", "delete") and mid.startswith("-"):
+                continue
+            if mid not in told:
+                told[mid] = [seq, None, True]
+            told[mid][1] = role if role is not None else told[mid][1]
+            if kind == "regenerate":
+                start = told[mid][0]
+                for other in [m for m, (s, _, _) in told.items() if start < s < seq]:
+                    told[other][2] = False  # dropped, whatever comes to it later
+                texts[mid] = ""
+            elif kind == "delete":
+                texts[mid] = None
+            elif kind == "delta" and texts.get(mid) is not None:
+                texts[mid] += text or ""
+            else:
+                texts[mid] = text or ""
+        out[conv] = sorted((s, r or "", texts[m]) for m, (s, r, stays) in told.items() if stays and texts[m] is not None)
+    return out
+
+
+def test_random_logs_against_a_fold_in_order(spark):
+    r, log = random.Random(7), []
+    for conv in range(25):
+        for seq in range(r.randint(1, 25)):
+            kind = r.choice(["delta", "delta", "message", "edit", "regenerate", "delete", "delta"])
+            log.append((conv, seq, kind, r.choice([None, "a", "b", "c"]), r.choice([None, "user", "assistant"]), r.choice(["x", "yy", "", None])))
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id string, role string, text string").repartition(5)
+    got = {c: [] for c in range(25)}
+    for m in chat.messages(df).collect():
+        got[m.conv_id].append((m.seq, m.role, m.text))
+    assert {c: sorted(x) for c, x in got.items()} == in_order(log)
+
+
+def test_texts_as_events_come_back(spark):
+    long = "long " * 20000 + "end"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ab"), (1, 1, "assistant", "ab"), (1, 1, "user", ""), (1, 2, None, None), (2, None, "assistant", TRICKY[0]), (None, 5, "assistant", long), (3, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").withColumn("id", F.lit(1)).withColumn("kind", F.lit("delete"))
+    log = chat.as_events(df)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"delta": 5 * len(rows), "message": len(rows), "edit": len(rows), "regenerate": len(rows)}
+    got = sorted((m.conv_id or 0, m.role, m.text) for m in chat.messages(log).collect())
+    assert got == sorted((c or 0, r or "", t or "") for c, _, r, t in rows)
+    plain = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.turns(df.select("conv_id", "seq", "role", "text"))).collect()}
+    assert {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.format_conversations(log)).collect()} == plain
+
+
 def test_digests_against_a_loop(spark):
     rows = [(c, t, ["user", "assistant", "system"][(c + t) % 3], TRICKY[(c * 3 + t) % len(TRICKY)] + f" {t}") for c in range(9) for t in range(c)]
     shown = chat.turns(spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").repartition(3))
@@ -450,7 +647,30 @@ def test_toxicity_on_held_out_documents(spark, none):
     assert (own.tox_predicted == (own.doc_id % 3 == 0)).mean() > 0.95
     assert got[got.doc_id.isin([601, 602])].tox_score.nunique() == 1
     assert toxicity.score(none, labels).count() == 0
-    assert toxicity.score(docs, labels.limit(0)).count() == 603
+    assert toxicity.score(docs, labels.limit(0)).agg(F.max('tox_score'), F.count('*')).first() == (pytest.approx(0, abs=1e-6), 603)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 1), (None, 1), (5, 7)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(1, f"copy {i}") for i in range(500)] + [(None, "x")] * 9, "doc_id long, text string")
+    texts, y, w = toxicity.labelled_sample(docs, labels, 20)
+    assert len(texts) == 40 and sum(y) == 20 and w[0] > 1
+    again = toxicity.labelled_sample(docs.repartition(7), labels.repartition(3), 20)
+    assert again == (texts, y, w)
+    one, y1, _ = toxicity.labelled_sample(docs.where("doc_id = 1"), labels, 500)
+    assert len(one) == 1 and y1 == [1]
+
+
+def test_toxicity_of_long_texts_repeats_and_clashes(spark, none):
+    net = toxicity.Network(3)
+    clean, bad = "plain words here " * 3000, "one awful window " * 20
+    assert toxicity.score_texts(net, [clean + bad + clean])[0] >= max(toxicity.score_texts(net, [clean])[0] - 1e-6, 0)
+    docs = spark.createDataFrame([(1, clean, 1), (1, clean, 1), (2, None, 1), (None, "", 1)], "doc_id long, text string, h int")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels, names=("a", "b"))
+    assert got.columns == ["doc_id", "text", "h", "a", "b"] and len({r.a for r in got.where("doc_id = 1").collect()}) == 1 and got.count() == 4
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumn("TOX_SCORE", F.lit(1)), labels)
 
 
 def test_scores_do_not_hang_on_company():

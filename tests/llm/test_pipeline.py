@@ -37,6 +37,30 @@ def test_empty_table(spark, tmp_path, sf):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeats, long texts, ties and columns with the operators' names, in each stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tox_score double, tox_predicted int, lang_pred string, lang_score double, __told string, __all long, m int, t long, n long, bits binary"
+    text = "the cat sat on the mat and slept all day in the warm sun of spring"
+    far = 100000
+    own = [(1, None, None, None), (2, "", "en", "a"), (None, text, "en", "a"), (4, text, "en", "b"), (4, text, "en", "b"), (5, text + " again", "en", "b"), (6, "word other " * 30000, "en", "c"), (7, "x" * 70000, "fr", "c"), (4, "another text of the same id that is here", "en", None)]
+    docs = spark.createDataFrame([(r[0] and r[0] + far, *r[1:], None, 0.5, 1, "mine", 0.5, "x", 7, 7, 7, 7, bytearray(b"k")) for r in own], schema)
+    base = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(base, allowMissingColumns=True)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        if name == "packing":
+            assert len(got) >= docs.count()
+            continue
+        assert out.columns == docs.columns and got
+        kept = [r for r in got if r.lang_pred is not None]
+        assert all((r.lang_pred, r["__told"], r["__all"], bytes(r.bits)) == ("mine", "x", 7, b"k") for r in kept)
+        if name == "near_duplicates":
+            assert sorted((str(r.doc_id - far), (r.text or "")[:10]) for r in kept) == sorted([("1", ""), ("4", text[:10]), ("6", "word other "[:10]), ("7", "x" * 10), ("4", "another te")])
+        if name == "language":
+            assert not [r for r in kept if not r.text]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, duck, sf, name):
     got, want = queries.QUERIES[name](spark, sf).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df()
