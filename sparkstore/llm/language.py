@@ -139,10 +139,11 @@ def sample(own: DataFrame, sizes: dict[str, int], rows: int) -> DataFrame:
 
     Ranks are exact, and taken among texts whose hash alone leaves about twice as
     many, so no window holds a language. A repeated text is one before texts move.
+    What is broadcast has a row for each language, which the driver has listed.
     """
     u = F.col("h") / 2.0**64 + 0.5
     share = own.sparkSession.createDataFrame([(k, min(1.0, (2.0 * rows + 50) / n)) for k, n in sizes.items()], "lang string, share double")
-    few = own.select("lang", "h").join(share, "lang").where(u < F.col("share")).select("lang", "h").distinct()
+    few = own.select("lang", "h").join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "h").distinct()
     line = Window.partitionBy("lang").orderBy("h")
     drawn = cut(few.withColumn("r", F.row_number().over(line)).where(F.col("r") <= rows).select("lang", "h"))
     return own.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
