@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A key of over 1/SPREAD of all rows is hot, so there are at most SPREAD hot keys.
 SPREAD = 1024
+#: Most bits of the bitmap of keys that is sent to rows, as words of 64; a key of fewer has 16 or more.
+HINT_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,25 @@ def look_up(rows: DataFrame, key: str, known: DataFrame, value: str, many: int,
     return out.select(*rows.columns, F.when(F.col(told).isNull(), F.col(value)).otherwise(F.col(f"{told}.v")).alias(value))
 
 
+def named_only(rows: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """The ``rows`` whose long ``key`` is in ``named(key)``, for a few keys and wide rows.
+
+    A plain semi-join shuffles all rows as soon as the keys are too many to be sent
+    whole. Here a bitmap of the keys' hashes goes to the rows first, in at most
+    HINT_BITS bits however many keys there are, so that only named rows, and about one in
+    twenty of the others, are shuffled for the exact join. ``named`` is read three
+    times: it should be cut.
+    """
+    word, bits, at = (fresh(x) for x in ("word", "bits", "at"))
+    size = 1 << min(HINT_BITS.bit_length() - 1, max(6, (16 * named.count()).bit_length()))
+    # not by the seed of other hashes, as keys may be such hashes
+    place = F.pmod(F.xxhash64(F.lit(0x48494E54), F.col(key)), F.lit(size).cast("long"))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
+    words = named.select(place.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(bit(at)).alias(bits))
+    near = rows.withColumn(at, place).join(F.broadcast(words), F.shiftright(at, 6) == F.col(word)).where(F.col(bits).bitwiseAND(bit(at)) != 0)
+    return near.select(*rows.columns).join(named, key, "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, root)``.
 

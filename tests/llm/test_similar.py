@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from sparkstore.llm import similar, simhash
+from sparkstore.llm.common import cut, named_only
 
 SCHEMA = "doc_id long, text string, t long, n long"
 
@@ -72,3 +73,33 @@ def test_stage_on_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "t", "n"]
     assert sorted((str(x.doc_id), x.text) for x in got.collect()) == sorted([("1", None), ("5", text), ("5", "another text of the same id here"), ("None", "no id here at all")], key=lambda x: (x[0], x[1] or ""))
     assert simhash.keep_one(make(spark, rows).where(F.lit(False))).count() == 0
+
+
+def test_pairs_of_two_parts_are_asked_in_rounds(spark, monkeypatch):
+    """Copies of a text that is not there, with two changes (alike) or three (alike to some)."""
+    r = random.Random(3)
+    base, rows = [f"v{i}" for i in range(200)], []
+    for k in range(90):
+        text = list(base)
+        for place in r.sample(range(5, 195), 2 if k < 65 else 3):
+            text[place] = f"k{k}x{place}"
+        rows.append((k, " ".join(text)))
+    asked, confirmed = [], similar.confirmed
+
+    def counted(docs, sets, pairs, shingle=similar.SHINGLE):
+        pairs = pairs.persist()
+        asked.append(pairs.count())
+        return confirmed(docs, sets, pairs, shingle)
+
+    monkeypatch.setattr(similar, "confirmed", counted)
+    kept = simhash.keep_one(make(spark, rows)).collect()
+    assert sorted(x.doc_id for x in kept) == brute(rows)
+    assert len(asked) > 2 and sum(asked) < 1500, asked
+
+
+def test_named_only(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) t", "id", "repeat('x', 50) text")
+    for n in (0, 1, 300):
+        named = cut(rows.where(f"id < {n}").select("t"))
+        got = named_only(rows, "t", named)
+        assert got.columns == rows.columns and sorted(x.id for x in got.collect()) == list(range(n))
