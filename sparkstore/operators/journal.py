@@ -80,25 +80,36 @@ def new_blobs(update: DataFrame, blobs: DataFrame) -> DataFrame:
     return update.select("sha", "size").distinct().join(blobs, "sha", "left_anti")
 
 
+def _followed(steps: DataFrame) -> DataFrame:
+    """``(k, to, depth, sound)`` of ``steps(k, to, depth, sound)``, each followed to where its chain ends:
+    ``sound`` is true at a step that was given as true, false at a ``to`` that is no ``k``, and stays
+    null on the way into a cycle.
+
+    Steps are doubled, and only open ones are taken on: what has come to its end is
+    written once. A chain of d steps holds chains of all fewer, so a round in which
+    nothing ends is the last, and cycles cost no rounds of their own.
+    """
+    now = cut(steps)
+    ended, open_ = now.where("sound IS NOT NULL"), now.where("sound IS NULL")
+    while not open_.isEmpty():
+        hop = ended.unionByName(open_).select(F.col("k").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("sound").alias("known"), F.lit(True).alias("met"))
+        met = F.col("met").isNotNull()
+        step = open_.select("k", "to", "depth").join(hop, "to", "left")
+        step = cut(step.select("k", F.when(met, F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.when(met, F.col("known")).otherwise(F.lit(False)).alias("sound")))
+        now = step.where("sound IS NOT NULL")
+        open_ = step.where("sound IS NULL")
+        if now.isEmpty():
+            break
+        ended = ended.unionByName(now)
+    return ended.unionByName(open_)
+
+
 def closure(links: DataFrame) -> DataFrame:
     """Final target of each ``links(path, target)``, chains of any length: pointers are
     doubled until no target is a path itself. Only rows that run into a cycle have a
-    null target.
-
-    Each round doubles the steps that are done. After as many rounds as a chain of
-    all rows can need, what still points at a path is on the way into a cycle, so
-    long chains are told from cycles.
-    """
-    now = cut(links.select("path", "target"))
-    left, rounds = now.count(), 0
-    while left and 1 << rounds <= left:
-        hop = now.select(F.col("path").alias("target"), F.col("target").alias("next"))
-        step = cut(now.join(hop, "target", "left").select("path", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
-        now, rounds = step.select("path", "target"), rounds + 1
-        if step.where("moved").isEmpty():
-            return now
-    loop = now.select(F.col("path").alias("target"), F.lit(1).alias("again")).distinct()
-    return now.join(loop, "target", "left").select("path", F.when(F.col("again").isNull(), F.col("target")).alias("target"))
+    null target."""
+    steps = links.select(F.col("path").alias("k"), F.col("target").alias("to"), F.lit(1).cast("long").alias("depth"), F.lit(None).cast("boolean").alias("sound"))
+    return _followed(steps).select(F.col("k").alias("path"), F.when(F.col("sound").isNotNull(), F.col("to")).alias("target"))
 
 
 def chain_depths(generations: DataFrame, most: int = 128) -> DataFrame:
@@ -109,16 +120,11 @@ def chain_depths(generations: DataFrame, most: int = 128) -> DataFrame:
     back, ``too_deep`` beyond ``most`` deltas, else null. Parents are doubled as in
     ``closure``, so a chain of any length takes rounds of its logarithm.
     """
-    now = cut(generations.select("gen", F.when(F.col("full"), F.col("gen")).otherwise(F.col("prev")).alias("root"), F.when(F.col("full"), 0).otherwise(1).cast("long").alias("depth")))
-    left, rounds = now.count(), 0
-    while left and 1 << rounds <= 2 * left:
-        hop = now.select(F.col("gen").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        step = now.join(hop, "root", "left")
-        now = cut(step.select("gen", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        rounds += 1
-    known = generations.select(F.col("gen").alias("root"), F.col("full").alias("rf"))
-    fault = F.when(F.col("rf").isNull(), "broken").when(~F.col("rf"), "cycle").when(F.col("depth") > most, "too_deep")
-    return now.join(known, "root", "left").select("gen", "root", F.when(F.col("rf"), F.col("depth")).alias("depth"), fault.alias("fault"))
+    full = F.coalesce("full", F.lit(False))
+    steps = generations.select(F.col("gen").alias("k"), F.when(full, F.col("gen")).otherwise(F.col("prev")).alias("to"), F.when(full, 0).otherwise(1).cast("long").alias("depth"), F.when(full, True).when(F.col("prev").isNull(), False).alias("sound"))
+    sound = F.col("sound")
+    fault = F.when(sound.isNull(), "cycle").when(~sound, "broken").when(F.col("depth") > most, "too_deep")
+    return _followed(steps).select(F.col("k").alias("gen"), F.col("to").alias("root"), F.when(sound, F.col("depth")).alias("depth"), fault.alias("fault"))
 
 
 def recover(generations: DataFrame, most: int = 128) -> int | None:

@@ -364,3 +364,14 @@ def test_recipes_rebuild(spark):
     assert {r.path: bytes(r.data) for r in recipes.rebuild(recipe).collect()} == {p: bytes(d) for p, d, _ in rows}
     own = {(r.part, r["mode"]) for r in recipe.where("path = 'z'").collect()}
     assert ("payload", recipes.REGENERATE) in own and ("stored", recipes.RETAIN) in own
+
+
+def test_ended_chains_leave_the_rounds(spark, monkeypatch):
+    """Only open rows are doubled: a cycle beside short chains costs no rounds, and no row that has ended is written again."""
+    written = []
+    monkeypatch.setattr(journal, "cut", lambda df: (lambda out: (written.append(out.count()), out)[1])(df.localCheckpoint()))
+    gens = [(i, None if i % 4 == 0 else i - 1, i % 4 == 0) for i in range(400)] + [(1000, 1001, False), (1001, 1000, False), (1002, 1001, False), (1003, 5000, False), (1004, None, False), (1005, 1004, False)]
+    got = {r.gen: (r.depth, r.fault) for r in journal.chain_depths(spark.createDataFrame(gens, "gen long, prev long, full boolean"), most=2).collect()}
+    want = {i: (i % 4, "too_deep" if i % 4 > 2 else None) for i in range(400)}
+    assert got == want | dict.fromkeys((1000, 1001, 1002), (None, "cycle")) | dict.fromkeys((1003, 1004, 1005), (None, "broken"))
+    assert len(written) <= 4 and sum(written) <= 3 * 406
