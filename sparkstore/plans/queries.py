@@ -418,13 +418,14 @@ def pack_plan_choice(spark, sf):
     return packing.choose(_plans(spark, sf), "lang", strict=True)
 
 
-def _measured(spark, sf):
-    """Candidate edges with their deltas: ``(target, base, bases, data, delta, copied, refused)``."""
+def _measured(spark, sf, made=delta.deltas):
+    """Candidate edges with their deltas: ``(target, base, bases, data, delta, copied, refused)``, and
+    what else ``made`` adds."""
     nodes = _nodes(spark, sf)
     edges = resemblance.candidates(cut(resemblance.sketches(nodes)))
     t, b = nodes.select(F.col("id").alias("target"), "data"), nodes.select(F.col("id").alias("base"), F.array("data").alias("bases"))
     pairs = edges.join(t, "target").join(b, "base").select(F.col("target").alias("id"), "base", "bases", F.col("data").alias("target"))
-    return delta.deltas(pairs).withColumnRenamed("target", "data").withColumnRenamed("id", "target")
+    return made(pairs).withColumnRenamed("target", "data").withColumnRenamed("id", "target")
 
 
 _EDGES = _SKETCH + """, pr AS (SELECT t.id AS target, b.id AS base, row_number() OVER (PARTITION BY t.id, t.band, t.feature, b.size_bucket ORDER BY b.id DESC) AS r
@@ -437,13 +438,13 @@ n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY shared DESC, bas
 def delta_roundtrip(spark, sf):
     """Each candidate edge's target, made again from its base and the delta: size and hash are
     those of what came out. A delta is never longer than its target by more than its frame."""
-    told = delta.restored(_measured(spark, sf))
+    told = _measured(spark, sf, delta.round_trips)
     return told.select("target", "base", F.octet_length("again").cast("long").alias("size"), sha(F.col("again")).alias("sha"), (F.octet_length("delta") <= F.octet_length("data") + 11).alias("bounded"))
 
 
 @query()
 def delta_bytes(spark, sf):
-    told = delta.restored(_measured(spark, sf))
+    told = _measured(spark, sf, delta.round_trips)
     return told.select("target", "base", F.octet_length("delta").cast("long").alias("delta_bytes"), F.get("copied", F.lit(0)).alias("copied"), (F.col("again") == F.col("data")).alias("equal"))
 
 
@@ -455,7 +456,7 @@ def mosaic_roundtrip(spark, sf):
     few = edges.withColumn("slot", F.row_number().over(line)).where(F.col("slot") <= delta.MAX_BASES)
     given = few.join(nodes.select(F.col("id").alias("base"), "data"), "base").groupBy("target").agg(F.sort_array(F.collect_list(F.struct("slot", "data"))).alias("b")).where(F.size("b") > 1)
     pairs = given.join(nodes.select(F.col("id").alias("target"), F.col("data").alias("own")), "target").select(F.col("target").alias("id"), F.transform("b", lambda x: x["data"]).alias("bases"), F.col("own").alias("target"))
-    told = delta.restored(delta.deltas(pairs))
+    told = delta.round_trips(pairs)
     return told.select("id", F.size("bases").cast("long").alias("bases"), F.size(delta.used_bases(F.col("copied"))).cast("long").alias("used"), F.octet_length("delta").cast("long").alias("delta_bytes"), (F.col("again") == F.col("target")).alias("equal"))
 
 

@@ -30,14 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, for a Python function over payloads: a batch holds BATCH_BYTES, or one row.
+def bounded(df: DataFrame, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``df``, for a Python function over payloads: a batch holds ``most_bytes``, or one row.
 
     The settings stay in the session, as they are read when a query is planned;
     smaller ones, and sizes set by hand with a unit, are left alone.
     """
     spark: SparkSession = df.sparkSession
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", most_bytes)):
         key = f"spark.sql.execution.arrow.{name}"
         now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
         if now and not 0 < int(now[1]) <= most:

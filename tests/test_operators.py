@@ -375,3 +375,29 @@ def test_ended_chains_leave_the_rounds(spark, monkeypatch):
     want = {i: (i % 4, "too_deep" if i % 4 > 2 else None) for i in range(400)}
     assert got == want | dict.fromkeys((1000, 1001, 1002), (None, "cycle")) | dict.fromkeys((1003, 1004, 1005), (None, "broken"))
     assert len(written) <= 4 and sum(written) <= 3 * 406
+
+
+def test_deltas_are_made_once_by_one_worker(spark):
+    """A filter on a delta does not make it twice, and a round trip is one Python pass over its pairs."""
+    data = [(1, [b"x" * 300 + b"tail"], b"head" + b"x" * 300), (2, [b""], b"abc"), (3, None, b"abc"), (4, [b"a" * 64], b"")]
+    pairs = spark.createDataFrame(data, "id long, bases array<binary>, target binary").repartition(2)
+    passes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    kept = delta.deltas(pairs).where(F.octet_length("delta") < F.octet_length("target")).select("id", F.octet_length("delta"), F.get("copied", F.lit(0)))
+    assert passes(kept) == 1
+    assert [r[0] for r in kept.collect()] == [1]
+    told = delta.round_trips(pairs).where("refused IS NULL").select("id", (F.col("again") == F.col("target")).alias("equal"), F.octet_length("delta"))
+    assert passes(told) == 1
+    assert sorted(r[:2] for r in told.collect()) == [(1, True), (2, True), (4, True)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_places_that_are_skipped_hold_no_anchor(given_):
+    """The hashed search for anchors leaves out no place that a look-up at each place finds."""
+    draw = lambda most: given_.draw(st.binary(max_size=most) | st.text("ab", max_size=most).map(str.encode))
+    base, block = draw(300) * given_.draw(st.integers(1, 3)), given_.draw(st.sampled_from([4, 8, 13, 64]))
+    target = draw(90) + base[given_.draw(st.integers(0, 80)) :] + draw(90)
+    index = {base[at : at + block]: [(0, at)] for at in range(0, len(base) - block + 1, block)}
+    may = set(delta._anchored(index, target, block)(0, max(0, len(target) - block + 1)))
+    assert may >= {at for at in range(len(target) - block + 1) if target[at : at + block] in index}
+    assert delta.decode([base], delta.encode([base], target, block)[0]) == target
