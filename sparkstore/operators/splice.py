@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import bounded
+from ..shared import bounded, cut, hinted
 
 #: Words, and characters, of a block key.
 WORDS, CHARS = 4, 32
@@ -32,17 +32,24 @@ def contained(parents: DataFrame, kids: DataFrame) -> DataFrame:
     gram: list[Column] = [F.col("word"), *[F.get("w", F.col("pos") + i) for i in range(1, WORDS)]]
     placed = own.where(F.col("pos") + WORDS <= F.size("w")).select("doc_id", F.xxhash64(*gram).alias("h"))
     grams = kids.where("wordy").select("item_id", words.alias("v")).select("item_id", F.explode(F.sequence(F.lit(1), F.size("v") - WORDS - 1)).alias("i"), "v")
-    grams = grams.select("item_id", "i", F.xxhash64(*[F.get("v", F.col("i") + j) for j in range(WORDS)]).alias("h"))
+    grams = cut(grams.select("item_id", "i", F.xxhash64(*[F.get("v", F.col("i") + j) for j in range(WORDS)]).alias("h")))
+    # of all grams of the parents only those that a kid has are shuffled, and kept
+    own_grams = cut(grams.select("h").distinct())
+    placed = cut(hinted(placed, "h", own_grams).join(own_grams, "h", "left_semi"))
     # of a kid's inner grams the rarest in the parents; one that is not there ends the kid
-    counts = placed.join(grams.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("h").agg(F.count("*").alias("n"))
     rare = grams.join(counts, "h", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "h")).alias("b")).where("b.n > 0")
     met = placed.join(rare.select("item_id", "b.h"), "h").select("doc_id", "item_id")
     rest = kids.where("NOT wordy")
     if not rest.isEmpty():
         chars = F.transform(F.sequence(F.lit(1), F.length("text") - CHARS + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(CHARS))))
         places = parents.where(F.length("text") >= CHARS).select("doc_id", F.explode(chars).alias("h"))
-        met = met.unionByName(places.join(rest.select("item_id", F.xxhash64(F.substring("kid", 1, CHARS)).alias("h")), "h").select("doc_id", "item_id"))
-    pairs = met.distinct().join(parents.select("doc_id", "text"), "doc_id").join(kids.select("item_id", "kid"), "item_id").where(F.contains("text", "kid"))
+        heads = cut(rest.select("item_id", F.xxhash64(F.substring("kid", 1, CHARS)).alias("h")))
+        met = met.unionByName(hinted(places, "h", heads.select("h")).join(heads, "h").select("doc_id", "item_id"))
+    met = cut(met.distinct())
+    # kids first, as texts are the longer; of those only the ones that a kid may be in
+    texts = hinted(parents.select("doc_id", "text"), "doc_id", cut(met.select("doc_id").distinct()))
+    pairs = met.join(kids.select("item_id", "kid"), "item_id").join(texts, "doc_id").where(F.contains("text", "kid"))
 
     @F.pandas_udf("array<long>")
     def places_of(text: pd.Series, kid: pd.Series) -> pd.Series:

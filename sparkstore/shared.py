@@ -6,10 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and rows that a Python worker is sent at once.
 BATCH_BYTES, BATCH_ROWS = 32 << 20, 4096
+#: Most bits of the bitmap of keys that is sent to rows; a key of fewer has 16 or more.
+HINT_BITS = 1 << 26
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,3 +46,19 @@ def bounded(df: DataFrame, most_bytes: int = BATCH_BYTES) -> DataFrame:
         if now and not 0 < int(now[1]) <= most:
             spark.conf.set(key, most)
     return df
+
+
+def hinted(rows: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``key`` may be in ``named(key)``: all that are, and about one in twenty of
+    the others. A bitmap of the keys' hashes is sent to the rows, in at most HINT_BITS bits
+    however many there are, so that an exact join shuffles little of a large table.
+    ``named`` is read twice: it should be cut.
+    """
+    word, bits, at = (f"__{c}_{uuid.uuid4().hex[:8]}" for c in ("word", "bits", "at"))
+    size = 1 << min(HINT_BITS.bit_length() - 1, max(6, (16 * named.count()).bit_length()))
+    # not by the seed of other hashes, as keys may be such hashes
+    place = F.pmod(F.xxhash64(F.lit(0x48494E54), F.col(key)), F.lit(size).cast("long"))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
+    words = named.select(place.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(bit(at)).alias(bits))
+    met: Column = F.shiftright(at, 6) == F.col(word)
+    return rows.withColumn(at, place).join(F.broadcast(words), met).where(F.col(bits).bitwiseAND(bit(at)) != 0).select(*rows.columns)

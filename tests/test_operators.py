@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkstore import sources, streaming
 from sparkstore.functions import extension, path_fault
-from sparkstore.operators import chunking, codecs, content, delta, extents, gate, journal, packing, planning, recipes, resemblance, validate, verify
+from sparkstore.operators import chunking, codecs, content, delta, extents, gate, journal, packing, planning, recipes, resemblance, splice, validate, verify
 
 BYTES = st.binary(max_size=400)
 
@@ -401,3 +401,17 @@ def test_places_that_are_skipped_hold_no_anchor(given_):
     may = set(delta._anchored(index, target, block)(0, max(0, len(target) - block + 1)))
     assert may >= {at for at in range(len(target) - block + 1) if target[at : at + block] in index}
     assert delta.decode([base], delta.encode([base], target, block)[0]) == target
+
+
+def test_only_grams_of_kids_are_shuffled(spark, monkeypatch):
+    """What contained keeps of its parents grows with the places that kids may have, not with the texts."""
+    kept = []
+    monkeypatch.setattr(splice, "cut", lambda df: (lambda out: (kept.append((out.columns, out.count())), out)[1])(df.localCheckpoint()))
+    rnd = random.Random(3)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    kids = [(1, words(9)), (2, words(12)), (3, "x" * 40), (4, words(9))]
+    texts = [(i, words(60)) for i in range(200)] + [(900, f"a {kids[0][1]} b {kids[0][1]}"), (901, "é" + kids[2][1] + "x"), (902, kids[1][1][:-1]), (903, None)]
+    got = splice.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(kids, "item_id long, kid string"))
+    want = {(d, k, at) for d, t in texts for k, kid in kids for at in range(len(t or "")) if t.startswith(kid, at)}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 4
+    assert max(n for columns, n in kept if set(columns) == {"doc_id", "h"}) < 50
