@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
 from collections.abc import Iterator
 
@@ -9,12 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import bounded, cut
 
 #: Root of a tree without leaves: a hash that no leaf and no pair can have.
 EMPTY_ROOT = hashlib.sha256(b"sparkstore: a tree without leaves").hexdigest()
 #: Levels of a Merkle tree that one aggregation folds.
 FOLDED = 10
+#: Bytes of records that one task of a chained digest hashes.
+LINK = 256 << 20
 
 
 def _u(n, width: int):
@@ -48,7 +52,83 @@ def content_digest(members: DataFrame, by: str) -> DataFrame:
     path, length and bytes of ``data``."""
     name = F.col("path").cast("binary")
     r = F.concat(_u(F.octet_length(name), 4), name, _u(F.octet_length("data"), 8), F.col("data"))
-    return _folded(members.select(F.col(by).cast("string").alias("k"), F.split("path", "/").alias("parts"), r.alias("r")), by)
+    return _chained(members.select(F.col(by).cast("string").alias("k"), F.split("path", "/").alias("parts"), r.alias("r")), by)
+
+
+class _Sha256:
+    """A SHA-256 whose state is bytes, so that another task can go on with it (OpenSSL's SHA256_CTX,
+    which holds no pointers)."""
+
+    def __init__(self, state: bytes | None = None):
+        self.lib = ctypes.CDLL(ctypes.util.find_library("crypto") or "libcrypto.so.3")
+        for name, kinds in (("Init", [ctypes.c_void_p]), ("Update", [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]), ("Final", [ctypes.c_void_p, ctypes.c_void_p])):
+            getattr(self.lib, f"SHA256_{name}").argtypes = kinds
+        self.c = ctypes.create_string_buffer(state or b"", 256)
+        if state is None:
+            self.lib.SHA256_Init(self.c)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.c, data, len(data))
+
+    def state(self) -> bytes:
+        return self.c.raw[:255]
+
+    def hexdigest(self) -> str:
+        out, c = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state(), 256)
+        self.lib.SHA256_Final(out, c)
+        return out.raw.hex()
+
+
+def _resumes() -> bool:
+    """Whether the library is there and a hash can be taken up again."""
+    try:
+        h = _Sha256()
+        h.update(b"a" * 70)
+        h = _Sha256(h.state())
+        h.update(b"b")
+        return h.hexdigest() == hashlib.sha256(b"a" * 70 + b"b").hexdigest()
+    except (OSError, AttributeError):
+        return False
+
+
+def _chained(rows: DataFrame, by: str) -> DataFrame:
+    """``_folded``, for records with payloads: ranges of the order, of about LINK bytes each, are
+    hashed by one task after the other, which hands on the state of the open hash. No
+    task reads more than its range, whatever the bytes of one ``by``. One fold remains if all fits
+    a range, or if no hash can be taken up again here."""
+    total = rows.agg(F.sum(F.octet_length("r").cast("long"))).first()[0] or 0
+    if total <= LINK or not _resumes():
+        return _folded(rows, by)
+    links = -(-total // LINK)
+    ranged = cut(rows.repartitionByRange(links, "k", "parts").withColumn("__p", F.spark_partition_id()), "__p")
+    out, last = None, None
+
+    def link(given):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, n, h = ((given["k"],), given["files"], _Sha256(bytes(given["state"]))) if given else ((), 0, None)
+            for part in batches:
+                done = []
+                for k, r in zip(part["k"], part["r"], strict=True):
+                    if (k,) != key:
+                        if h:
+                            done.append((*key, n, h.hexdigest(), None))
+                        key, n, h = (k,), 0, _Sha256()
+                    h.update(bytes(r))
+                    n += 1
+                yield pd.DataFrame(done, columns=["k", "files", "digest", "state"])
+            if h:
+                yield pd.DataFrame([(*key, n, None, h.state())], columns=["k", "files", "digest", "state"])
+
+        return run
+
+    for p in range(links):
+        line = bounded(ranged.where(F.col("__p") == p).coalesce(1)).sortWithinPartitions("k", "parts").select("k", "r")
+        told = cut(line.mapInPandas(link(last), "k string, files long, digest string, state binary"))
+        last = told.where("state IS NOT NULL").first() or last
+        done = told.where("state IS NULL").select("k", "files", "digest")
+        out = done if out is None else out.unionByName(done)
+    end = [(last["k"], last["files"], _Sha256(bytes(last["state"])).hexdigest())]
+    return out.unionByName(rows.sparkSession.createDataFrame(end, "k string, files long, digest string")).withColumnRenamed("k", by)
 
 
 def _folded(rows: DataFrame, by: str) -> DataFrame:

@@ -15,12 +15,12 @@ BATCH_BYTES, BATCH_ROWS = 32 << 20, 4096
 HINT_BITS = 1 << 26
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a Parquet table below the session's ``spark.checkpoint.dir``, read from there.
 
     Where that is unset a folder is made if the master is local; elsewhere it would
     be out of the executors' sight, and that is an error. The table has its true
-    size, by which later joins are planned.
+    size, by which later joins are planned. It has a folder for each value of ``by``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -415,3 +415,18 @@ def test_only_grams_of_kids_are_shuffled(spark, monkeypatch):
     want = {(d, k, at) for d, t in texts for k, kid in kids for at in range(len(t or "")) if t.startswith(kid, at)}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 4
     assert max(n for columns, n in kept if set(columns) == {"doc_id", "h"}) < 50
+
+
+def test_one_hash_goes_over_ranges(spark, monkeypatch):
+    """A digest of one key that is longer than a range is handed from task to task, and is the same."""
+    rnd, seen = random.Random(2), []
+    data = [(rnd.choice(["x", "x", "x", "y", None]), f"{rnd.randrange(9)}/{i}", rnd.randbytes(rnd.randrange(90))) for i in range(300)]
+    df = spark.createDataFrame(data, "lang string, path string, data binary")
+    whole = {tuple(r) for r in verify.content_digest(df, "lang").collect()}
+    monkeypatch.setattr(verify, "LINK", 3000)
+    monkeypatch.setattr(verify, "cut", lambda df, *by, f=verify.cut: (lambda out: (by and seen.append([r["n"] for r in out.groupBy(*by).agg(F.sum(F.octet_length("r")).alias("n")).collect()]), out)[1])(f(df, *by)))
+    assert {tuple(r) for r in verify.content_digest(df, "lang").collect()} == whole and len(whole) == 3
+    x = sorted((p.split("/"), p.encode(), d) for k, p, d in data if k == "x")
+    told = hashlib.sha256(b"".join(len(p).to_bytes(4, "big") + p + len(d).to_bytes(8, "big") + d for _, p, d in x)).hexdigest()
+    assert ("x", len(x), told) in whole
+    assert len(seen[0]) >= 5 and max(seen[0]) < 6000
